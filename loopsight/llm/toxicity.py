@@ -52,14 +52,15 @@ class Ftrl:
 
 def train(
     documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
-    bits: int = BITS, max_rows: int = MAX_ROWS, passes: int = 4, l1: float = 1.0, alpha: float = 0.1,
+    bits: int = BITS, max_rows: int = MAX_ROWS, passes: int = 6, l1: float = 8.0, alpha: float = 3.0, min_docs: int = 2,
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature numbers, their weights, bias) from up to max_rows labelled documents.
 
     labels holds doc_id and a label of 0 or 1; null ids or labels are left out; of several labels
     of one id the largest counts, and of several texts of one id the smallest. Without labelled
     rows there are no weights and the bias is 0. The sample is bounded, so one task can fit it;
-    it gets hashed features, not texts. A feature counts once for each document, however often it
+    it gets hashed features, not texts. Features of fewer than min_docs sampled documents have no
+    weight. A feature counts once for each document, however often it
     stands there.
     """
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).dropna()
@@ -80,6 +81,10 @@ def train(
         model, order = Ftrl(bits, l1=l1, alpha=alpha), np.arange(len(pdf))
         at = [np.asarray(x, dtype=np.int64) for x in pdf["__at"]]
         y = pdf["__label"].to_numpy()
+        seen = np.zeros((1 << bits) + 1, dtype=np.int32)
+        for x in at:
+            seen[x] += 1
+        at = [x[seen[x] >= min_docs] for x in at]
         random = np.random.default_rng(5)
         for _ in range(passes):
             random.shuffle(order)
