@@ -10,10 +10,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, checkpointed, lower_words, mixed, texts_of
+from loopsight.llm.common import U64, WordHashes, checkpointed, lower_words, mixed, released, texts_of
 
 #: Words of one batch of documents, within which n-grams are counted before they are shuffled.
-BATCH_WORDS = 4_000_000
+BATCH_WORDS = 2_200_000
 #: Words of the corpus for each part of the count tables.
 PART_WORDS = 2_000_000
 ALPHA, MIN_COUNT, ORDER = 0.4, 2, 3
@@ -108,7 +108,9 @@ def score_documents(
     """
     kind = "batch long, ids binary, nulls binary, lengths array<int>, words binary, tokens binary, n long"
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    batches = checkpointed(rows.mapInArrow(_batches, kind))
+    # dealt by batch before it is stored: the join by batch further down needn't move the texts again
+    batches = checkpointed(rows.mapInArrow(_batches, kind).repartition("batch"))
+    released(documents.sparkSession)
     total = batches.agg(F.sum("n")).first()[0] or 0
     parts = max(12, -(-total // PART_WORDS))
 
