@@ -1,7 +1,6 @@
 """Helpers shared by the operators of this subpackage."""
 
 import atexit
-import gc
 import shutil
 import tempfile
 
@@ -32,12 +31,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def released(spark: SparkSession) -> None:
-    """Have the driver forget cut lineage now, so that the shuffle files it stood for are deleted."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, checkpointed, lower_words, mixed, released, texts_of
+from loopsight.llm.common import U64, WORD, WordHashes, lower_words, mixed, texts_of
 
 #: Words of one batch of documents, within which n-grams are counted before they are shuffled.
 BATCH_WORDS = 2_200_000
@@ -108,10 +108,8 @@ def score_documents(
     """
     kind = "batch long, ids binary, nulls binary, lengths array<int>, words binary, tokens binary, n long"
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    # dealt by batch before it is stored: the join by batch further down needn't move the texts again
-    batches = checkpointed(rows.mapInArrow(_batches, kind).repartition("batch"))
-    released(documents.sparkSession)
-    total = batches.agg(F.sum("n")).first()[0] or 0
+    batches = rows.mapInArrow(_batches, kind).repartition("batch")  # one exchange, which both of its uses read
+    total = rows.agg(F.sum(F.regexp_count("text", F.lit(WORD)).cast("long"))).first()[0] or 0
     parts = max(12, -(-total // PART_WORDS))
 
     def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
