@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from loopsight.functions import boxes
-from loopsight.operators import checks, matching, surface, velocity
+from loopsight.operators import assignment, checks, fragments, matching, surface, velocity
 from loopsight.sources import views as v
 from loopsight.sources.views import CTES
+from loopsight.streaming import frames
 
 FLAGSHIP = "iou_mutual_best_f1"
 PERIOD, BELT = int(v.PERIOD), v.VELOCITY
@@ -54,6 +55,11 @@ QUERIES = {
     "velocity_ols": lambda s, d: _rounded(velocity.least_squares(v.tracks(s, d), BELT)),
     "velocity_theil_sen": lambda s, d: _rounded(velocity.theil_sen(v.tracks(s, d))),
     "velocity_repeated_median": lambda s, d: _rounded(velocity.repeated_median(v.tracks(s, d))),
+    "match_optimal": lambda s, d: _rounded(assignment.optimal_matches(v.detections(s, d), v.truth(s, d))),
+    "track_fragments": lambda s, d: fragments.track_fragments(v.tracks(s, d)),
+    "map_blend": lambda s, d: _rounded(
+        frames.blended(v.belt_map(s, d), v.belt_map(s, d).where("x % 3 > 0").withColumn("v", F.col("v") * 2), 0.25)
+    ),
     "velocity_gates": lambda s, d: velocity.gates(velocity.least_squares(v.tracks(s, d), BELT)),
 }
 
@@ -176,4 +182,11 @@ ORACLE_SQL = {
     + _OLS
     + """SELECT track_id, n_detections >= 5 AS passes_length, v_y / 59.25e0 >= 0 AS passes_low, v_y / 59.25e0 <= 1.1e0 AS passes_high,
       n_detections >= 5 AND v_y / 59.25e0 >= 0 AND v_y / 59.25e0 <= 1.1e0 AS accepted FROM ols""",
+    "track_fragments": CTES
+    + """, f AS (SELECT *, CASE WHEN frame_index - lag(frame_index) OVER w <= 1 THEN 0 ELSE 1 END AS new FROM tracks
+      WINDOW w AS (PARTITION BY track_id ORDER BY frame_index)),
+    g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY track_id ORDER BY frame_index) AS BIGINT) AS fragment FROM f)
+    SELECT track_id, fragment, min(frame_index) AS frame_start, max(frame_index) AS frame_end, count(*) AS n FROM g GROUP BY 1, 2""",
+    "map_blend": CTES
+    + "SELECT belt_row, x, round(CASE WHEN x % 3 > 0 THEN v * 0.75e0 + v * 2 * 0.25e0 ELSE v END, 6) AS v FROM belt_map",
 }
