@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loopsight.functions import boxes
-from loopsight.operators import assignment, checks, fragments, matching, surface, velocity
+from loopsight.operators import assignment, checks, fragments, matching, sampling, surface, velocity
 from loopsight.sources import views as v
 from loopsight.sources.views import CTES
 from loopsight.streaming import frames
@@ -24,6 +24,13 @@ def _pairs(spark, d):
     return matching.iou_pairs(v.detections(spark, d), v.truth(spark, d))
 
 
+def _p_values(spark, d):
+    """Of detections, a quarter of which stand out by 8, against those that truth doesn't hold."""
+    more = F.when(F.col("label") % 4 == 1, 8.0).otherwise(0.0)
+    scored = v.detections(spark, d).withColumn("score", F.col("peak_signal") + more)
+    return sampling.empirical_p_values(scored.where("label % 4 <> 0"), scored.where("label % 4 = 0"))
+
+
 QUERIES = {
     "iou_pairs": lambda s, d: _rounded(_pairs(s, d).select("frame_index", "label", "truth_id", "iou")),
     "iou_mutual_best": lambda s, d: _rounded(matching.mutual_best(_pairs(s, d)).select("frame_index", "label", "truth_id", "iou")),
@@ -60,9 +67,21 @@ QUERIES = {
     "map_blend": lambda s, d: _rounded(
         frames.blended(v.belt_map(s, d), v.belt_map(s, d).where("x % 3 > 0").withColumn("v", F.col("v") * 2), 0.25)
     ),
+    "sample_indices": lambda s, d: sampling.sample_indices(s, v.phases(s, d).count(), 500),
+    "round_robin_plan": lambda s, d: _rounded(sampling.round_robin_plan(v.phases(s, d), v.PERIOD, 24, 300)),
+    "frames_by_density": lambda s, d: _rounded(sampling.frames_by_density(v.detections(s, d), 8.0)),
+    "empirical_p_values": lambda s, d: _rounded(_p_values(s, d), 9),
+    "fdr_threshold": lambda s, d: _rounded(sampling.fdr_threshold(_p_values(s, d), 0.5)),
     "velocity_gates": lambda s, d: velocity.gates(velocity.least_squares(v.tracks(s, d), BELT)),
 }
 
+_P_VALUES = """, c AS (
+  SELECT peak_signal + CASE WHEN label % 4 = 1 THEN 8e0 ELSE 0e0 END AS score, count(*) FILTER (label % 4 <> 0) AS n, count(*) FILTER (label % 4 = 0) AS b
+  FROM detections GROUP BY 1
+), pv AS (
+  SELECT score, n, (above + 1) / (total + 1) AS p FROM (
+    SELECT *, sum(b) OVER (ORDER BY score DESC) AS above, sum(b) OVER () AS total FROM c) WHERE n > 0)
+"""
 _OLS = """, ols AS (
   SELECT track_id, count(*) AS n_detections, regr_slope(y, frame_index) AS v_y, regr_slope(x, frame_index) AS v_x
   FROM tracks GROUP BY track_id)
@@ -189,4 +208,20 @@ ORACLE_SQL = {
     SELECT track_id, fragment, min(frame_index) AS frame_start, max(frame_index) AS frame_end, count(*) AS n FROM g GROUP BY 1, 2""",
     "map_blend": CTES
     + "SELECT belt_row, x, round(CASE WHEN x % 3 > 0 THEN v * 0.75e0 + v * 2 * 0.25e0 ELSE v END, 6) AS v FROM belt_map",
+    "sample_indices": "SELECT DISTINCT CAST(floor(i * ((SELECT count(*) FROM orders) - 1) / 499.0e0) AS BIGINT) AS frame_index FROM range(500) t(i)",
+    "round_robin_plan": CTES
+    + """, r AS (
+      SELECT frame_index, CAST(least(floor(predicted_phase_px / (14723e0 / 24)), 23) AS BIGINT) AS bucket, 1 - score AS cost FROM phases
+    ), t AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY cost, frame_index) AS turn FROM r)
+    SELECT frame_index, bucket, round(cost, 6) AS cost, turn FROM t ORDER BY turn, bucket LIMIT 300""",
+    "frames_by_density": CTES
+    + """SELECT frame_index, round(avg(CASE WHEN peak_signal > 8 THEN 1.0e0 ELSE 0.0e0 END), 6) AS density, count(*) AS n
+    FROM detections GROUP BY frame_index""",
+    "empirical_p_values": CTES + _P_VALUES + "SELECT score, n, round(p, 9) AS p FROM (SELECT round(score, 9) AS score, n, p FROM pv)",
+    "fdr_threshold": CTES
+    + _P_VALUES
+    + """, k AS (SELECT p, sum(n) AS n, min(score) AS score FROM pv GROUP BY p),
+    r AS (SELECT *, sum(n) OVER (ORDER BY p) AS rank, (SELECT sum(n) FROM pv) AS m FROM k)
+    SELECT round(max(p), 6) AS cutoff, round(min(score), 6) AS threshold, CAST(sum(n) AS BIGINT) AS discoveries
+    FROM r WHERE p <= 0.5e0 * rank / m""",
 }

@@ -2,8 +2,9 @@
 
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loopsight.operators.matching import iou_pairs
 
@@ -16,6 +17,8 @@ def assign(pairs: Iterable[tuple[int, int, float]]) -> list[tuple[int, int, floa
     """
     gain = {(a, b): float(g) for a, b, g in pairs}
     lefts, rights = sorted({a for a, _ in gain}), sorted({b for _, b in gain})
+    if len(lefts) == len(rights) == len(gain):
+        return sorted((a, b, g) for (a, b), g in gain.items())
     match: dict[int, int] = {}  # right -> left
     while True:
         used = set(match.values())
@@ -41,13 +44,14 @@ def assign(pairs: Iterable[tuple[int, int, float]]) -> list[tuple[int, int, floa
 
 
 def optimal_matches(detections: DataFrame, truth: DataFrame, least: float = 0.25) -> DataFrame:
-    """frame_index, label, truth_id, iou of the best assignment of each frame; a frame's boxes are one small group."""
-    pairs = iou_pairs(detections, truth, least).select("frame_index", "label", "truth_id", "iou")
+    """frame_index, label, truth_id, iou of the best assignment of each frame; a frame's boxes are one small array."""
+    pairs = iou_pairs(detections, truth, least)
+    frames = pairs.groupBy("frame_index").agg(F.collect_list(F.struct("label", "truth_id", "iou")).alias("pairs"))
+    kind = pa.list_(pa.struct([("label", pa.int64()), ("truth_id", pa.int64()), ("iou", pa.float64())]))
 
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        found = assign(zip(frame["label"], frame["truth_id"], frame["iou"], strict=True))
-        out = pd.DataFrame(found, columns=["label", "truth_id", "iou"])
-        out.insert(0, "frame_index", frame["frame_index"].iloc[0])
-        return out
+    @F.arrow_udf("array<struct<label:long,truth_id:long,iou:double>>")
+    def best(column: pa.Array) -> pa.Array:
+        found = (assign(p.values() for p in row) for row in column.to_pylist())
+        return pa.array([[dict(zip(("label", "truth_id", "iou"), x, strict=True)) for x in row] for row in found], type=kind)
 
-    return pairs.groupBy("frame_index").applyInPandas(best, "frame_index long, label long, truth_id long, iou double")
+    return frames.select("frame_index", F.inline(best("pairs")))
