@@ -52,7 +52,7 @@ class Ftrl:
 
 def train(
     documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
-    bits: int = BITS, max_rows: int = MAX_ROWS, passes: int = 6, l1: float = 8.0, alpha: float = 3.0, min_docs: int = 2,
+    bits: int = BITS, max_rows: int = MAX_ROWS, passes: int = 6, l1: float = 12.0, alpha: float = 3.0, min_docs: int = 2,
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature numbers, their weights, bias) from up to max_rows labelled documents.
 
@@ -60,8 +60,10 @@ def train(
     of one id the largest counts, and of several texts of one id the smallest. Without labelled
     rows there are no weights and the bias is 0. The sample is bounded, so one task can fit it;
     it gets hashed features, not texts. Features of fewer than min_docs sampled documents have no
-    weight. A feature counts once for each document, however often it
-    stands there.
+    weight. A feature counts once for each document, however often it stands there.
+
+    l1 and alpha are those with the fewest errors in four folds (crc32 of the id, modulo 5, is 1 to 4)
+    of the labelled rows of sf0.1; rows with a remainder of 0 are held out and took no part.
     """
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).dropna()
     known = known.groupBy("__id").agg(F.max("__label").alias("__label"))
