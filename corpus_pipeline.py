@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from loopsight.llm.common import checkpointed, table
 from loopsight.llm.decontaminate import benchmark_matches
 from loopsight.llm.mixing import mix_sources
+from loopsight.llm.near_copies import drop_near_copies as near_copies_dropped
 from loopsight.llm.secret_scan import redact_secrets
-from loopsight.llm.simhash import simhash_dedup
 from loopsight.llm.toxicity import score_column, train, training_labels
 
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by SimHash fingerprints."""
-    return simhash_dedup(docs)
+    """One document, that with the smallest id, of each group linked at a similarity of 0.8 or more over five words."""
+    return near_copies_dropped(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,15 +152,13 @@ def hex_of(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def simhash_dedup(
-    documents: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 2
-) -> DataFrame:
-    """The rows of documents, all columns, less all but one document of each group.
+def keep_first(documents: DataFrame, rows: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of documents, all columns, less all but one document of each root.
 
-    The document with the smallest id stays (null ids come last; then the smallest text hash), as
-    one row even if that row is repeated.
+    rows holds doc_id, t1, t2 and root of every row of documents. The document with the smallest
+    id stays (null ids come last; then the smallest text hash), as one row even if that row is
+    repeated.
     """
-    rows = simhash_components(documents, text, doc_id, shingle, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("first")
     kept = checkpointed(rows.groupBy("root").agg(first).select("first.doc_id", "first.t1", "first.t2"))
     kept = kept.select(*[F.col(c).alias(f"__kept_{c}") for c in kept.columns])
@@ -177,3 +175,10 @@ def simhash_dedup(
         out = out.withColumn("__id", F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
         out = out.dropDuplicates(["__id", "__t1", "__t2"]).drop("__id")
     return out.drop("__t1", "__t2")
+
+
+def simhash_dedup(
+    documents: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 2
+) -> DataFrame:
+    """The rows of documents, all columns, less all but one document of each group of linked fingerprints."""
+    return keep_first(documents, simhash_components(documents, text, doc_id, shingle, radius), text, doc_id)

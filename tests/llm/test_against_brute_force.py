@@ -19,6 +19,7 @@ from loopsight.llm.licenses import Template, scan_licenses
 from loopsight.llm.common import plain_words
 from loopsight.llm.mixing import fit_lengths
 from loopsight.llm.secret_scan import redacted, scan_text
+from loopsight.llm.near_copies import near_copy_groups
 from loopsight.llm.simhash import fingerprint, link_fingerprints
 
 TINY = "/root/testdata/sf0.001"
@@ -67,6 +68,43 @@ def test_simhash_query(spark, documents):
         assert got[r["doc_id"]]["component_id"] == rows[w]["doc_id"]
 
 
+def test_near_copy_groups(spark):
+    random = np.random.default_rng(8)
+    draw = lambda n: [f"w{x}" for x in random.integers(0, 5000, size=n)]
+    texts = [None, "", " ", "one", "One", "two words"]
+    for n in (40, 120, 400, 1500):
+        for _ in range(8):
+            base = draw(n)
+            for share in (0.0, 0.003, 0.01, 0.02, 0.06):
+                copy = list(base)
+                for at in random.choice(n, size=int(share * n) + (share > 0), replace=False):
+                    copy[at] = "edited"
+                texts.append(" ".join(copy))
+    base = draw(300)
+    for _ in range(250):  # a crowded group
+        copy = list(base)
+        for at in random.choice(300, size=3, replace=False):
+            copy[at] = draw(1)[0]
+        texts.append(" ".join(copy))
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(x) for x in texts]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    want = groups_of(sets, near)
+    rows = near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["root"] for r in rows}
+    assert len(rows) == len(texts)
+    whole = {}
+    for i in range(len(texts)):  # nothing is joined that isn't linked
+        assert whole.setdefault(got[i], want[i]) == want[i]
+    linked = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if want[i] == want[j] and near(sets[i], sets[j])]
+    assert np.mean([got[i] == got[j] for i, j in linked]) >= 0.95
+    assert len({got[i] for i in range(len(texts) - 250, len(texts))}) == 1
+
+
 @pytest.mark.parametrize("crowded", [1, 64])
 @pytest.mark.parametrize("radius", [1, 2])
 def test_crowded_buckets_lose_no_link(spark, crowded, radius):
