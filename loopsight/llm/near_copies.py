@@ -17,6 +17,8 @@ LANES, SEGMENT = 6, 28
 _SAMPLE, _HOT = 64, 16
 #: Hot segments are sent to all executors up to this many (16 bytes each), and joined by shuffle beyond.
 _SENT = 100_000
+#: Keys (16 bytes each) of texts to compare are sent to all executors up to this many, and joined by shuffle beyond.
+_ASKED = 500_000
 
 
 def shingle_set(text: bytes | None, shingle: int, hashes: WordHashes) -> np.ndarray:
@@ -120,10 +122,10 @@ def near_copy_groups(documents: DataFrame, text: str = "text", doc_id: str = "do
     group of copies isn't expanded into pairs. Complete distances then decide, where they are
     2.5 deviations or more off the limit; between, the texts' shingles are compared.
     """
-    rows = documents.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("text"))
-    once = rows.groupBy("t1", "t2").agg(F.min("text").alias("text"))
-    prints = once.select("t1", "t2", _fingerprints(F.col("text"), shingle).alias("fp"))
-    prints = checkpointed(prints.groupBy("fp").agg(F.min(F.struct("t1", "t2")).alias("first"), F.count(F.lit(1)).alias("n")).select("fp", "first").withColumn("id", F.monotonically_increasing_id()))
+    key = text_key(F.col(text))
+    # texts are read where they lie; only fingerprints are shuffled
+    rows = checkpointed(documents.select(F.col(doc_id).alias("doc_id"), *key, _fingerprints(F.col(text), shingle).alias("fp")))
+    prints = checkpointed(rows.groupBy("fp").agg(F.min(F.struct("t1", "t2")).alias("first"), F.count(F.lit(1)).alias("n")).select("fp", "first").withColumn("id", F.monotonically_increasing_id()))
     mean, deviation = expected_bits(similarity)
     stars = checkpointed(_stars(prints))
     spokes = stars.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
@@ -140,13 +142,14 @@ def near_copy_groups(documents: DataFrame, text: str = "text", doc_id: str = "do
     asked = pairs.where(~sure).select("a", "b").distinct().join(left, "a", "left").join(right, "b", "left")
     asked = checkpointed(asked.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
     ends = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = prints.join(ends, "id", "left_semi").select("id", "first.t1", "first.t2").join(once, ["t1", "t2"]).select("id", "text")
+    wanted = checkpointed(prints.join(ends, "id", "left_semi").select("id", "first.t1", "first.t2"))
+    few = F.broadcast(wanted) if wanted.count() <= _ASKED else wanted
+    texts = checkpointed(documents.select(*key, F.col(text).alias("text")).join(few, ["t1", "t2"]).groupBy("id").agg(F.min("text").alias("text")))
     shown = asked.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     shown = shown.where(_similarity(F.col("ta"), F.col("tb"), shingle) >= similarity).select("a", "b")
     roots = connected_components(links.unionByName(shown))
     named = prints.join(roots, prints["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("root"))
-    by_text = once.select("t1", "t2", _fingerprints(F.col("text"), shingle).alias("fp")).join(named, "fp").select("t1", "t2", "root")
-    return rows.select("doc_id", "t1", "t2").join(by_text, ["t1", "t2"])
+    return rows.join(named, "fp").select("doc_id", "t1", "t2", "root")
 
 
 def drop_near_copies(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
