@@ -50,6 +50,10 @@ class _Layer:
         self.text, self.marks, self.depth = text, marks, depth
         self.starts = [m[0] for m in marks]
 
+    def key(self) -> bytes:
+        """Stands for the text and where it lies: two layers of one key have the same matches at the same spans."""
+        return hashlib.sha256(f"{self.marks} {self.text}".encode("utf-8", "surrogatepass")).digest()
+
     def span(self, start: int, end: int) -> tuple[int, int, bool]:
         """Span in the whole text, and whether any of it had been decoded."""
         if end <= start:
@@ -87,13 +91,17 @@ def _unescaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """The layer with every escape of one sort decoded in its place."""
     out, marks, at, here = [], [], 0, 0
 
+    def mark(first: int, last: int, step: int) -> None:
+        if step or not marks or marks[-1][1:] != (first, last, 0):
+            marks.append((here, first, last, step))
+
     def copied(end: int) -> None:
         nonlocal at, here
         while at < end:  # over the marks that the piece runs through
             i = bisect.bisect_right(layer.starts, at) - 1
             start, there, last, step = layer.marks[i]
             upto = min(end, layer.starts[i + 1] if i + 1 < len(layer.starts) else end)
-            marks.append((here, there + (at - start) * step, last, step))
+            mark(there + (at - start) * step, last, step)
             out.append(layer.text[at:upto])
             here += upto - at
             at = upto
@@ -102,7 +110,7 @@ def _unescaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
         copied(m.start())
         for char, took in decode(m[0]):
             first, last, _ = layer.span(at, at + took)
-            marks.append((here, first, last, 0))
+            mark(first, last, 0)
             out.append(char)
             at += took
             here += 1
@@ -154,15 +162,16 @@ def scan_text(text: str | None) -> tuple[list, list, int, int]:
     """(base, all, layers, cut): base matches, all matches with decoded ones, layers read, layers cut short.
 
     Every layer that URL escapes, Unicode escapes, base64 or compressed data (in base64) yield is
-    scanned and unwrapped in turn; a layer already seen ends its branch, so cycles end.
+    scanned and unwrapped in turn. A layer already seen at the same place ends its branch, so cycles
+    end; the same content at another place is read again, as its matches have other spans.
     """
     text = text or ""
     base = find_secrets(text)
     spans = set(base)
     if "%" not in text and "\\" not in text and not _BASE64.search(text):
         return sorted(base, key=_order), sorted(spans, key=_order), 1, 0
-    seen, cut = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, 0
-    work = [_Layer(text, [(0, 0, len(text), 1)], 0)]
+    work, cut = [_Layer(text, [(0, 0, len(text), 1)], 0)], 0
+    seen = {work[0].key()}
     while work:
         layer = work.pop()
         if layer.depth:
@@ -180,13 +189,13 @@ def scan_text(text: str | None) -> tuple[list, list, int, int]:
             inner.append(_unescaped(layer, _UNICODE, _unicode))
         for m in _BASE64.finditer(layer.text):
             data = _decoded64(m[0])
+            first, last, _ = layer.span(m.start(), m.end())
             while data is not None:  # compressed layers may lie in each other
                 within = _as_text(data)
                 if within is not None:
-                    first, last, _ = layer.span(m.start(), m.end())
                     inner.append(_Layer(within, [(0, first, last, 0)], layer.depth + 1))
                     break
-                key = hashlib.sha256(data).digest()
+                key = hashlib.sha256(b"%d %d " % (first, last) + data).digest()
                 if key in seen:
                     break
                 seen.add(key)
@@ -194,7 +203,7 @@ def scan_text(text: str | None) -> tuple[list, list, int, int]:
                 cut += more
         for x in inner:
             if x is not None:
-                key = hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest()
+                key = x.key()
                 if key not in seen:
                     seen.add(key)
                     work.append(x)

@@ -221,6 +221,22 @@ def test_nested_layers():
     assert scan_text(None)[:2] == ([], [])
 
 
+def test_every_copy_of_an_encoded_secret_is_found():
+    secret = 'password = "hunter2hunter2"'
+    once = base64.b64encode(secret.encode()).decode()
+    packed = base64.b64encode(gzip.compress(secret.encode(), mtime=0)).decode()
+    twice = base64.b64encode(once.encode()).decode()
+    escaped = "".join(f"%{b:02X}" for b in secret.encode())
+    for hidden in (once, packed, twice, escaped, urllib.parse.quote(packed, safe="")):
+        text = f"a {hidden} b {hidden}\nc {hidden} d"
+        places = [m.start() for m in re.finditer(re.escape(hidden), text)]
+        spans = scan_text(text)[1]
+        assert all(any(at <= s and e <= at + len(hidden) for s, e, _ in spans) for at in places)
+        assert redacted(text, spans).count("[SECRET]") == 3
+    text = f"{once} and {twice}"  # the second holds the first's content
+    assert len(scan_text(text)[1]) == 2
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
