@@ -1,24 +1,30 @@
-"""Near copies at a stated similarity, by multi-index hashing over wide SimHash fingerprints."""
+"""Near copies at a stated similarity, by exact prefix filtering over sets of shingles."""
 
 import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopsight.llm.common import U64, WordHashes, checkpointed, lower_words, mixed, run_hashes, text_key, texts_of
 from loopsight.llm.components import connected_components
-from loopsight.llm.simhash import _BYTE_BITS, _LANES, _WEIGHTS, keep_first
+from loopsight.llm.simhash import keep_first
 
-#: A fingerprint has LANES longs; each gives two segments of SEGMENT bits.
-LANES, SEGMENT = 6, 28
-#: A segment that at least 16 of every 64th text's entries name is dealt out before its rows are gathered.
+#: Shingles in several of every 16th set are common and come last in the order of prefixes. The order only decides how many
+#: candidates there are; any order that is the same for all texts finds all links, so the list may be short.
+_COUNTED, _OFTEN, _COMMON = 16, 3, 200_000
+#: A key that at least 16 of every 64th set's entries name is dealt out before its rows are gathered.
 _SAMPLE, _HOT = 64, 16
-#: Hot segments are sent to all executors up to this many (16 bytes each), and joined by shuffle beyond.
+#: Hot keys are sent to all executors up to this many (16 bytes each), and joined by shuffle beyond.
 _SENT = 100_000
 #: Keys (16 bytes each) of texts to compare are sent to all executors up to this many, and joined by shuffle beyond.
 _ASKED = 500_000
+#: Words whose hashes a worker remembers, and texts it holds at once.
+_WORDS, _TEXTS = 100_000, 256
+#: Slack of float comparisons that rule a pair out before it is compared exactly.
+_SLACK = 1e-9
 
 
 def shingle_set(text: bytes | None, shingle: int, hashes: WordHashes) -> np.ndarray:
@@ -27,30 +33,86 @@ def shingle_set(text: bytes | None, shingle: int, hashes: WordHashes) -> np.ndar
     return np.unique(run_hashes(hashes.of(words), min(shingle, len(words)), 0x9E3779B97F4A7C15)) if words else np.zeros(0, U64)
 
 
-def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """LANES longs; a bit is 1 if it is set in over half of the shingles' hashes."""
-    out = np.zeros(LANES, dtype=U64)
-    for lane in range(LANES):
-        h = mixed(shingles ^ U64((lane + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
-        seen = np.bincount((h.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256)
-        out[lane] = _WEIGHTS[2 * (seen @ _BYTE_BITS).ravel() > len(h)].sum()
-    return out.view(np.int64)
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 shingles, by how common they are, then by hash.
+
+    Sets of this similarity have a shingle of their prefixes in common, whatever their sizes.
+    common is sorted, counts are those of its values.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    size = n - math.ceil(similarity * n - _SLACK) + 1
+    at = np.minimum(np.searchsorted(common, shingles), max(0, len(common) - 1))
+    often = np.where(common[at] == shingles, counts[at], 0) if len(common) else np.zeros(n, np.int64)
+    return shingles[np.argsort(often, kind="stable")[:size]]
+
+
+def parities(shingles: np.ndarray) -> bytes:
+    """A bit for each of a power of two (2n or more) of slots: whether an odd number of shingles falls into it."""
+    slots = max(64, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    at = (mixed(shingles ^ U64(0xA0761D6478BD642F)) & U64(slots - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_similar(n: int, x: bytes, m: int, y: bytes) -> float:
+    """The highest similarity that two sets of these sizes and parities can have."""
+    while len(x) != len(y):  # slots of a longer one, laid on each other, are those of a shorter one
+        x, y = sorted((x, y), key=len)
+        half = len(y) // 2
+        y = (int.from_bytes(y[:half], "little") ^ int.from_bytes(y[half:], "little")).to_bytes(half, "little")
+    apart = max(abs(n - m), (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count())
+    return (n + m - apart) / max(1, n + m + apart)
 
 
-def _fingerprints(text, shingle: int):
+def _common(documents: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, sorted, and how many of the counted texts have each."""
+
     @F.arrow_udf("array<long>")
     def of(column: pa.Array) -> pa.Array:
-        hashes = WordHashes()
-        found = [wide_fingerprint(shingle_set(x, shingle, hashes)) for x in texts_of(column)]
-        return pa.array(found, type=pa.list_(pa.int64()))
+        hashes = WordHashes(most=_WORDS)
+        return pa.array([shingle_set(x, shingle, hashes).view(np.int64) for x in texts_of(column)], type=pa.list_(pa.int64()))
+
+    some = documents.where(F.xxhash64(F.col(text)) % _COUNTED == 0).select(of(F.col(text)).alias("s")).distinct()
+    counts = some.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _OFTEN)
+    found = counts.orderBy(F.desc("n"), "h").limit(_COMMON).toPandas()
+    values = found["h"].to_numpy(dtype=np.int64).view(U64)
+    by = np.argsort(values)
+    return values[by], found["n"].to_numpy(dtype=np.int64)[by]
+
+
+def _described(text, shingle: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """A struct column: size, 128-bit hash, parities and prefix of a text's set of shingles."""
+    kind = pa.struct([("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("n long, s1 long, s2 long, bits binary, prefix array<long>")
+    def of(column: pa.Array) -> pa.Array:
+        hashes, out = WordHashes(most=_WORDS), []
+        for at in range(0, len(column), _TEXTS):
+            some = []
+            for x in texts_of(column.slice(at, _TEXTS)):
+                s = shingle_set(x, shingle, hashes)
+                s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
+                first = prefix(s, similarity, common, counts).view(np.int64)
+                some.append({"n": len(s), "s1": s1, "s2": s2, "bits": parities(s), "prefix": first})
+            out.append(pa.array(some, type=kind))
+        return pa.concat_arrays(out) if out else pa.array([], type=kind)
 
     return of(text)
 
 
+def _most(n, x, m, y):
+    @F.arrow_udf("double")
+    def of(n: pa.Array, x: pa.Array, m: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([most_similar(*row) for row in zip(*(c.to_pylist() for c in (n, x, m, y)), strict=True)], type=pa.float64())
+
+    return of(n, x, m, y)
+
+
 def _similarity(a, b, shingle: int):
     @F.arrow_udf("double")
     def of(left: pa.Array, right: pa.Array) -> pa.Array:
-        hashes, out = WordHashes(), []
+        hashes, out = WordHashes(most=_WORDS), []
         for x, y in zip(texts_of(left), texts_of(right), strict=True):
             x, y = shingle_set(x, shingle, hashes), shingle_set(y, shingle, hashes)
             both = len(np.intersect1d(x, y, assume_unique=True))
@@ -60,20 +122,9 @@ def _similarity(a, b, shingle: int):
     return of(a, b)
 
 
-def _distance(a: str, b: str):
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES)), F.lit(0))
-
-
 def _entries(prints: DataFrame) -> DataFrame:
-    """(key, id): the ball of radius one about each segment; two texts share a key if a segment differs in two bits or less."""
-    mask = (1 << SEGMENT) - 1
-    halves = [half.bitwiseAND(F.lit(mask)) for i in range(LANES) for half in (F.col("fp")[i], F.shiftrightunsigned(F.col("fp")[i], 32))]
-    flips = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << i for i in range(SEGMENT)))])
-
-    def ball(n: int, segment):
-        return F.transform(flips, lambda m: segment.bitwiseXOR(m) + F.lit(n << SEGMENT))
-
-    return prints.select(F.explode(F.flatten(F.array(*[ball(n, s) for n, s in enumerate(halves)]))).alias("key"), "id")
+    """(key, id): the prefix of each set."""
+    return prints.select(F.explode("prefix").alias("key"), "id")
 
 
 def _stars(prints: DataFrame) -> DataFrame:
@@ -94,17 +145,20 @@ def _stars(prints: DataFrame) -> DataFrame:
     return stars.unionByName(busy.join(F.broadcast(centres) if few else centres, "key").select("key", "id", "centre"))
 
 
-def _measured(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """pairs (a, b) with the complete distance d of their fingerprints."""
-    left = prints.select(F.col("id").alias("a"), F.col("fp").alias("fa"))
-    right = prints.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", _distance("fa", "fb").alias("d"))
+def _possible(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sizes and parities don't rule out; none of the similarity is lost."""
+    left = prints.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = prints.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    even = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - _SLACK
+    met = pairs.join(left, "a").join(right, "b").where(even)
+    return met.where(_most(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb")) >= similarity - _SLACK).select("a", "b")
 
 
-def expected_bits(similarity: float) -> tuple[float, float]:
-    """Mean and deviation of the distance of two equally large sets with this Jaccard similarity."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return 64 * LANES * p, math.sqrt(64 * LANES * p * (1 - p))
+def _apart(pairs: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The pairs that links don't join yet; links is what connected_components gives."""
+    left, right = (links.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in (a, b))
+    met = pairs.join(left, a, "left").join(right, b, "left")
+    return met.where(F.coalesce(f"r{a}", a) != F.coalesce(f"r{b}", b)).drop(f"r{a}", f"r{b}")
 
 
 def near_copy_groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -115,41 +169,39 @@ def near_copy_groups(documents: DataFrame, text: str = "text", doc_id: str = "do
     text of fewer words is one shingle. Repeated rows stay; null ids are ids like any other; other
     columns are ignored; an empty table gives no rows.
 
-    Fingerprints of 384 bits are cut into twelve segments of 28. Two texts are candidates where a
-    segment differs in two bits or less: at a similarity of 0.8, 0.85 and 0.9 that finds 91, 98
-    and over 99 of 100 pairs by calculation. Within a key all are compared with its smallest text
-    alone; those too far from it (and only those) also with all others, so nothing is capped and a
-    group of copies isn't expanded into pairs. Complete distances then decide, where they are
-    2.5 deviations or more off the limit; between, the texts' shingles are compared.
+    No link is lost and none is guessed: two sets of that similarity have a shingle of their
+    prefixes in common, sizes and parities rule out only pairs that can't reach it, and what is
+    left is compared on the texts' shingles. Within a key all are compared with its smallest set
+    alone; those that aren't joined with it (and only those) also with all others, so nothing is
+    capped and a group of copies isn't expanded into pairs.
     """
     key = text_key(F.col(text))
-    # texts are read where they lie; only fingerprints are shuffled
-    rows = checkpointed(documents.select(F.col(doc_id).alias("doc_id"), *key, _fingerprints(F.col(text), shingle).alias("fp")))
-    prints = checkpointed(rows.groupBy("fp").agg(F.min(F.struct("t1", "t2")).alias("first"), F.count(F.lit(1)).alias("n")).select("fp", "first").withColumn("id", F.monotonically_increasing_id()))
-    mean, deviation = expected_bits(similarity)
+    # texts are read where they lie; only what describes their sets is shuffled
+    about = _described(F.col(text), shingle, similarity, *_common(documents, text, shingle))
+    rows = checkpointed(documents.select(F.col(doc_id).alias("doc_id"), *key, about.alias("x")).select("doc_id", "t1", "t2", "x.*"))
+    prints = rows.groupBy("s1", "s2").agg(F.min(F.struct("t1", "t2", "n", "bits", "prefix")).alias("first"))
+    prints = checkpointed(prints.select("s1", "s2", "first.*", F.monotonically_increasing_id().alias("id")))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        asked = checkpointed(pairs)
+        ends = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = checkpointed(prints.join(ends, "id", "left_semi").select("id", "t1", "t2"))
+        few = F.broadcast(wanted) if wanted.count() <= _ASKED else wanted
+        texts = checkpointed(documents.select(*key, F.col(text).alias("text")).join(few, ["t1", "t2"]).groupBy("id").agg(F.min("text").alias("text")))
+        shown = asked.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        return checkpointed(shown.where(_similarity(F.col("ta"), F.col("tb"), shingle) >= similarity).select("a", "b"))
+
     stars = checkpointed(_stars(prints))
     spokes = stars.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    spokes = checkpointed(_measured(spokes, prints))
-    sure, far = F.col("d") <= mean - 2.5 * deviation, F.col("d") > mean + 2.5 * deviation
-    others = stars.join(spokes.where(~sure).select(F.col("a").alias("centre"), F.col("b").alias("id")), ["centre", "id"])
-    others = others.select("key", F.col("id").alias("x")).join(stars.select("key", F.col("id").alias("y"), "centre"), "key")
+    links = similar(_possible(spokes, prints, similarity))
+    known = checkpointed(connected_components(links))
+    others = _apart(stars.where("id <> centre"), known, "centre", "id").select("key", F.col("id").alias("x"))
+    others = others.join(stars.select("key", F.col("id").alias("y"), "centre"), "key")
     others = others.where((F.col("x") != F.col("y")) & (F.col("y") != F.col("centre")))
     others = others.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = checkpointed(spokes.unionByName(_measured(others, prints)).where(~far))
-    links = pairs.where(sure).select("a", "b")
-    known = checkpointed(connected_components(links))
-    left, right = (known.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    asked = pairs.where(~sure).select("a", "b").distinct().join(left, "a", "left").join(right, "b", "left")
-    asked = checkpointed(asked.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    ends = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = checkpointed(prints.join(ends, "id", "left_semi").select("id", "first.t1", "first.t2"))
-    few = F.broadcast(wanted) if wanted.count() <= _ASKED else wanted
-    texts = checkpointed(documents.select(*key, F.col(text).alias("text")).join(few, ["t1", "t2"]).groupBy("id").agg(F.min("text").alias("text")))
-    shown = asked.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    shown = shown.where(_similarity(F.col("ta"), F.col("tb"), shingle) >= similarity).select("a", "b")
-    roots = connected_components(links.unionByName(shown))
-    named = prints.join(roots, prints["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("root"))
-    return rows.join(named, "fp").select("doc_id", "t1", "t2", "root")
+    roots = connected_components(links.unionByName(similar(_apart(_possible(others, prints, similarity), known))))
+    named = prints.join(roots, prints["id"] == roots["node"], "left").select("s1", "s2", F.coalesce("root", "id").alias("root"))
+    return rows.select("doc_id", "t1", "t2", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "t1", "t2", "root")
 
 
 def drop_near_copies(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -105,6 +105,23 @@ def test_near_copy_groups(spark):
     assert len({got[i] for i in range(len(texts) - 250, len(texts))}) == 1
 
 
+def test_near_copies_of_short_texts_lose_no_link(spark):
+    random = np.random.default_rng(5)
+    texts = []
+    for n in (8, 9, 12, 18, 23, 28, 60):
+        for _ in range(30):
+            base = [f"w{x}" for x in random.integers(0, 5000, size=n)]
+            # the longest tail that keeps 0.8: n - 4 shingles of n - 4 + extra
+            extra = int((n - 4) / 0.8 + 1e-9) - (n - 4)
+            for tail in (extra, extra + 1):
+                texts.append((" ".join(base), n, tail))
+                texts.append((" ".join(base + [f"x{x}" for x in random.integers(0, 10**9, size=tail)]), n, tail))
+    rows = near_copy_groups(spark.createDataFrame([(i, x[0]) for i, x in enumerate(texts)], "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["root"] for r in rows}
+    for i in range(0, len(texts), 4):
+        assert got[i] == got[i + 1] == got[i + 2] != got[i + 3]
+
+
 @pytest.mark.parametrize("crowded", [1, 64])
 @pytest.mark.parametrize("radius", [1, 2])
 def test_crowded_buckets_lose_no_link(spark, crowded, radius):
