@@ -21,8 +21,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_FORM = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\+")
 _UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run that goes on over line breaks, also such as are written \\n; each line but the last ends with it.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+#: Where compressed data begin within others, as bytes and as Latin-1 characters.
+_PACKED = r"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]"
+_PACKED_BYTES, _PACKED_CHARS = re.compile(_PACKED.encode(), re.DOTALL), re.compile(_PACKED)
+_WIDE = re.compile(r"[^\x00-\xff]")
+_BYTE_ESCAPES = re.compile(r"\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[nrt\\'\"]")
 
 #: A compressed layer is inflated up to so many bytes; one that goes on is scanned that far and counted as cut.
 INFLATE_BYTES = 64 << 20
@@ -121,54 +130,121 @@ def _unescaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     return _Layer("".join(out), marks, layer.depth + 1)
 
 
-def _inflated(data: bytes) -> tuple[bytes | None, bool]:
-    """What data hold if they are gzip, zlib, bzip2 or xz, and whether that was cut at INFLATE_BYTES."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-            unpack = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            unpack = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            unpack = lzma.LZMADecompressor()
-        else:
-            return None, False
-        out = unpack.decompress(data, INFLATE_BYTES)
-        return out, len(out) >= INFLATE_BYTES and not unpack.eof
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None, False
-
-
-def _as_text(data: bytes) -> str | None:
-    """data as text, if that's what they look like."""
+def _latin(token: str) -> list[tuple[str, int]]:
+    """URL escapes as bytes, one character each; in forms + is a space."""
+    if token == "+":
+        return [(" ", 1)]
+    return [(c, 3) for c in bytes.fromhex(token.replace("%", "")).decode("latin-1")]
+
+
+def _byte(token: str) -> list[tuple[str, int]]:
+    simple = {"n": "\n", "r": "\r", "t": "\t"}
+    return [(chr(int(token[2:], 16)) if token[1] in "xu" else simple.get(token[1], token[1]), len(token))]
+
+
+def _unpacker(data: bytes):
+    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _inflated(data: bytes) -> tuple[bytes, int, bool]:
+    """What data begin with if that's gzip, zlib, bzip2 or xz, how many bytes it takes, and whether it was cut.
+
+    Members that follow each other are one; of a damaged one, what comes before the damage.
+    """
+    out, size, at = [], 0, 0
+    while at < len(data) and (unpack := _unpacker(data[at : at + 8])) is not None:
+        begin, left = at, INFLATE_BYTES - size
+        try:
+            while at < len(data) and not unpack.eof and left > 0:
+                piece = data[at : at + 4096]
+                at += len(piece)
+                if isinstance(unpack, bz2.BZ2Decompressor | lzma.LZMADecompressor):
+                    got = unpack.decompress(piece, left)
+                    while got or not unpack.needs_input and not unpack.eof:
+                        out.append(got)
+                        left -= len(got)
+                        if left <= 0 or unpack.eof or unpack.needs_input:
+                            break
+                        got = unpack.decompress(b"", left)
+                else:
+                    out.append(unpack.decompress(piece, left))
+                    left -= len(out[-1])
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            size = INFLATE_BYTES - left
+            break
+        size = INFLATE_BYTES - left
+        if left <= 0 and not unpack.eof:
+            return b"".join(out), len(data), True
+        if not unpack.eof:
+            break
+        at -= len(unpack.unused_data)
+        if at == begin:
+            break
+    return b"".join(out), at, False
+
+
+def _texts(data: bytes) -> str:
+    """data as text; bytes that aren't UTF-8 as Latin-1."""
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if c < " " and c not in "\t\n\r\x0b\x0c")
-    return text if text and odd * 10 <= len(text) else None
+        return data.decode("latin-1")
 
 
-def _decoded64(token: str) -> bytes | None:
+def _decoded64(token: str) -> bytes:
     body = token.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except ValueError:
-        return None
+        body = body[:-1]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _unfolded(token: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """A run without its line breaks, and (start there, start, end) of each of its lines."""
+    lines, at, size, parts = [], 0, 0, []
+    for m in [*_BREAK.finditer(token), None]:
+        end = m.start() if m else len(token)
+        lines.append((size, at, end))
+        parts.append(token[at:end])
+        size += end - at
+        at = m.end() if m else end
+    return "".join(parts), lines
+
+
+def _line_marks(data: bytes, text: str, lines: list[tuple[int, int, int]], skipped: int, span) -> list[tuple[int, int, int, int]]:
+    """Marks of decoded text: each character stands for the line, or the two lines, that it was decoded from."""
+    borders = {0: (lines[0][1], lines[0][2])}
+    for (_, first, _), (size, start, end) in zip(lines, lines[1:]):
+        bits = max(0, size - skipped) * 6
+        if bits % 8:
+            borders[bits // 8] = (first, end)
+        borders[-(-bits // 8)] = (start, end)
+    marks, utf8 = [], len(text) != len(data)
+    here = at = 0
+    for place, (start, end) in sorted(borders.items()):
+        place = min(place, len(data))
+        here += len(data[at:place].decode("utf-8", "ignore")) if utf8 else place - at
+        at = place
+        if marks and marks[-1][0] == here:
+            marks.pop()
+        marks.append((here, *span(start, end), 0))
+    return marks
 
 
 def scan_text(text: str | None) -> tuple[list, list, int, int]:
     """(base, all, layers, cut): base matches, all matches with decoded ones, layers read, layers cut short.
 
-    Every layer that URL escapes, Unicode escapes, base64 or compressed data (in base64) yield is
-    scanned and unwrapped in turn. A layer already seen at the same place ends its branch, so cycles
+    Every layer that URL escapes, Unicode escapes, base64 (also over line breaks, and after other
+    characters of its alphabet) or compressed data (in base64 or escaped bytes) yield is scanned and unwrapped in turn. A layer already seen at the same place ends its branch, so cycles
     end; the same content at another place is read again, as its matches have other spans.
     """
     text = text or ""
     base = find_secrets(text)
     spans = set(base)
-    if "%" not in text and "\\" not in text and not _BASE64.search(text):
+    if "%" not in text and "\\" not in text and not _BASE64.search(text) and not _WRAPPED.search(text):
         return sorted(base, key=_order), sorted(spans, key=_order), 1, 0
     work, cut = [_Layer(text, [(0, 0, len(text), 1)], 0)], 0
     seen = {work[0].key()}
@@ -187,20 +263,50 @@ def scan_text(text: str | None) -> tuple[list, list, int, int]:
             inner.append(_unescaped(layer, _PERCENT, _percent))
         if "\\" in layer.text:
             inner.append(_unescaped(layer, _UNICODE, _unicode))
+        packed: list[tuple[bytes, int, int]] = []  # bytes and where they come from
+        for sign, pattern, decode in (("%", _PERCENT, _latin), ("+", _FORM, _latin), ("\\", _BYTE_ESCAPES, _byte)):
+            raw = _unescaped(layer, pattern, decode) if sign in layer.text and (sign != "+" or "%" in layer.text) else None
+            for m in _PACKED_CHARS.finditer(raw.text) if raw else ():
+                rest = raw.text[m.start() :]
+                rest = rest[: stop.start()] if (stop := _WIDE.search(rest)) else rest
+                out, used, more = _inflated(rest.encode("latin-1"))
+                if out:
+                    cut += more
+                    first, last, _ = raw.span(m.start(), m.start() + used)
+                    inner.append(_Layer(_texts(out), [(0, first, last, 0)], layer.depth + 1))
+                    packed.append((out, first, last))
         for m in _BASE64.finditer(layer.text):
-            data = _decoded64(m[0])
-            first, last, _ = layer.span(m.start(), m.end())
-            while data is not None:  # compressed layers may lie in each other
-                within = _as_text(data)
-                if within is not None:
-                    inner.append(_Layer(within, [(0, first, last, 0)], layer.depth + 1))
-                    break
-                key = hashlib.sha256(b"%d %d " % (first, last) + data).digest()
-                if key in seen:
-                    break
-                seen.add(key)
-                data, more = _inflated(data)
-                cut += more
+            for skip in range(4):  # a token may follow others of its characters
+                data = _decoded64(m[0][skip:])
+                first, last, _ = layer.span(m.start() + skip, m.end())
+                inner.append(_Layer(_texts(data), [(0, first, last, 0)], layer.depth + 1))
+                packed.append((data, first, last))
+        for m in _WRAPPED.finditer(layer.text):
+            token, lines = _unfolded(m[0])
+            if len(token) < 16:
+                continue
+            span = lambda start, end: layer.span(m.start() + start, m.start() + end)[:2]
+            for skip in range(4):
+                data = _decoded64(token[skip:])
+                within = _texts(data)
+                inner.append(_Layer(within, _line_marks(data, within, lines, skip, span), layer.depth + 1))
+                packed.append((data, *span(0, len(m[0]))))
+        while packed:  # compressed layers may lie in each other
+            data, first, last = packed.pop()
+            starts = {m.start() for m in _PACKED_BYTES.finditer(data)} | {0}
+            key = hashlib.sha256(b"%d %d " % (first, last) + data).digest() if len(starts) > 1 or _unpacker(data[:8]) else None
+            if key is None or key in seen:
+                continue
+            seen.add(key)
+            done = 0
+            for start in sorted(starts):
+                if start >= done:
+                    out, used, more = _inflated(data[start:])
+                    if out:
+                        cut += more
+                        done = start + used
+                        inner.append(_Layer(_texts(out), [(0, first, last, 0)], layer.depth + 1))
+                        packed.append((out, first, last))
         for x in inner:
             if x is not None:
                 key = x.key()

@@ -1,7 +1,9 @@
 import base64
+import bz2
 import gzip
 import hashlib
 import itertools
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -254,6 +256,36 @@ def test_every_copy_of_an_encoded_secret_is_found():
     assert len(scan_text(text)[1]) == 2
 
 
+def test_layers_that_are_wrapped_escaped_or_glued():
+    secret = 'password = "hunter2hunter2"'
+    filler = " ".join(hashlib.sha256(bytes([i])).hexdigest()[:7] for i in range(40))
+    wrapped = [base64.encodebytes((("x" * n) + " " + secret + " é").encode()).decode().strip() for n in range(30, 60, 3)]
+    for columns in (64, 70):
+        once = base64.b64encode((filler + secret + filler).encode()).decode()
+        wrapped.append("\n".join(once[i : i + columns] for i in range(0, len(once), columns)))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        packed = pack((filler + secret).encode())
+        wrapped.append(base64.encodebytes(packed).decode().strip())
+        wrapped.append(base64.encodebytes(packed).decode().strip().replace("\n", "\\n"))
+        wrapped.append("".join(f"%{b:02X}" for b in packed))
+        wrapped.append(urllib.parse.quote(packed))
+        wrapped.append(urllib.parse.quote_plus(packed))
+        wrapped.append("".join(f"\\x{b:02x}" for b in packed))
+        wrapped.append(repr(packed)[2:-1])
+    wrapped.append(base64.b64encode(gzip.compress(f"caf\xe9 {secret}".encode("latin-1"))).decode())
+    wrapped.append(base64.b64encode(gzip.compress(b"one ") + gzip.compress(secret.encode())).decode())
+    for glue in ("a/", "ab/", "abc/", "abcd/"):
+        wrapped.append(glue + base64.b64encode(secret.encode()).decode())
+        wrapped.append(glue + base64.b64encode(gzip.compress(secret.encode())).decode())
+    for hidden in wrapped:
+        text = f"é before {hidden} after"
+        base, spans, _, cut = scan_text(text)
+        found = [x for x in spans if x not in base]
+        assert not cut and any(k == 0 for _, _, k in found), hidden
+        assert all(9 <= s and e <= 9 + len(hidden) + len(" after") for s, e, _ in found)
+    assert scan_text("a" * 30 + "\n" + base64.b64encode(secret.encode()).decode() + "\nnext words")[1]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
