@@ -38,6 +38,9 @@ QUERIES = {
     "froc_envelope": lambda s, d: _rounded(
         matching.froc_curve(v.detections(s, d), v.truth(s, d), v.phases(s, d).count())
     ),
+    "froc_rematched": lambda s, d: _rounded(
+        matching.froc_rematched(v.detections(s, d), v.truth(s, d), v.phases(s, d).count())
+    ),
     "box_audit": lambda s, d: matching.audit_boxes(v.detections(s, d), v.HEIGHT, v.WIDTH),
     "box_areas": lambda s, d: velocity.describe(
         v.detections(s, d).select(F.floor(boxes.area(boxes.sides("bbox_")) * 3 / 4).alias("area")), "area"

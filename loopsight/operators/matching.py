@@ -1,5 +1,8 @@
 """Detections against truth: box joins, mutual best pairs, precision and recall, score curves."""
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +37,8 @@ def precision_recall(detections: DataFrame, truth: DataFrame, least: float = 0.2
 def froc_curve(detections: DataFrame, truth: DataFrame, frames: int, step: float = 1.0) -> DataFrame:
     """At each threshold on a grid: true and false detections kept, recall, false ones a frame, recall's running maximum.
 
-    Detections are counted by grid cell before anything is ordered, so the window sees grid rows only.
+    Detections are matched once, over all scores, so a point differs from matching what it keeps (see froc_rematched).
+    They are counted by grid cell before anything is ordered, so the window sees grid rows only.
     """
     hits = mutual_best(iou_pairs(detections, truth)).select("frame_index", "label", F.lit(1).alias("hit"))
     scored = detections.join(hits, ["frame_index", "label"], "left")
@@ -50,6 +54,78 @@ def froc_curve(detections: DataFrame, truth: DataFrame, frames: int, step: float
     return out.select((F.col("cell") * step).alias("threshold"), "tp", "fp", "recall", "fp_per_frame", envelope.alias("envelope"))
 
 
+def greedy_matches(pairs: list[tuple[float, int, int]]) -> int:
+    """How many pairs (iou, detection, truth), sorted best first, are taken if each box is taken once."""
+    found, sought = set(), set()
+    for _, d, t in pairs:
+        if d not in found and t not in sought:
+            found.add(d)
+            sought.add(t)
+    return len(found)
+
+
+def _iou(a: list, b: list) -> float:
+    both = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+    return both / union if union > 0 else 0.0
+
+
+def score_steps(found: list[tuple], truth: list[list], least: float) -> list[tuple[float | None, int, int]]:
+    """(score, more matches, more detections) at each distinct score of a frame, highest first; None is before all.
+
+    found are (score or None, label, box). Detections without a finite score are always kept. All
+    that are kept at a score are matched anew, best IoU first, so matches may also move.
+    """
+    rows = [(x if x is not None and math.isfinite(x) else None, label, box) for x, label, box in found]
+    rows.sort(key=lambda r: (r[0] is not None, r[1]))
+    pairs = [(_iou(r[2], t), i, j) for i, r in enumerate(rows) for j, t in enumerate(truth)]
+    pairs = sorted((x for x in pairs if x[0] >= least), reverse=True)
+    out, before = [], 0
+    for score in [None, *sorted({r[0] for r in rows if r[0] is not None}, reverse=True)]:
+        new = {i for i, r in enumerate(rows) if r[0] == score}
+        now = before
+        if any(i in new for _, i, _ in pairs):
+            now = greedy_matches([x for x in pairs if rows[x[1]][0] is None or (score is not None and rows[x[1]][0] >= score)])
+        out.append((score, now - before, len(new)))
+        before = now
+    return out
+
+
+def froc_rematched(detections: DataFrame, truth: DataFrame, frames: int, least: float = 0.25) -> DataFrame:
+    """A point without detections (threshold null), then one at each distinct score: what it keeps, matched anew.
+
+    Within a frame matches change only at the frame's own scores, so each frame yields its steps
+    and their sums are the whole curve. Columns are those of froc_curve; without truth boxes recall is null.
+    """
+    steps_type = pa.list_(pa.struct([("score", pa.float64()), ("tp", pa.int64()), ("n", pa.int64())]))
+
+    @F.arrow_udf("array<struct<score: double, tp: long, n: long>>")
+    def steps(found: pa.Array, sought: pa.Array) -> pa.Array:
+        out = []
+        for d, t in zip(found.to_pylist(), sought.to_pylist(), strict=True):
+            boxed = [(x["score"], x["label"], x["box"]) for x in d]
+            true = [x["box"] for x in sorted(t or [], key=lambda x: x["truth_id"])]
+            out.append([dict(zip(("score", "tp", "n"), x, strict=True)) for x in score_steps(boxed, true, least)])
+        return pa.array(out, type=steps_type)
+
+    def box(prefix: str):
+        return F.array(*[F.col(prefix + side).cast("double") for side in ("top", "left", "bottom", "right")]).alias("box")
+
+    found = detections.groupBy("frame_index").agg(F.collect_list(F.struct(F.col("peak_signal").alias("score"), "label", box("bbox_"))).alias("found"))
+    sought = truth.groupBy("frame_index").agg(F.collect_list(F.struct("truth_id", box("t_"))).alias("sought"))
+    each = found.join(sought, "frame_index", "left").select(F.explode(steps(F.col("found"), F.col("sought"))).alias("s"))
+    by_score = each.groupBy("s.score").agg(F.sum("s.tp").alias("tp"), F.sum("s.n").alias("n"))
+    down = Window.orderBy(F.desc_nulls_first("score"))
+    out = by_score.select("score", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("kept"))
+    empty = detections.sparkSession.createDataFrame([(None, 0, 0)], "score double, tp long, kept long")
+    out = out.where("score IS NOT NULL").unionByName(empty)
+    out = out.join(truth.agg(F.count(F.lit(1)).alias("nt"))).withColumn("fp", F.col("kept") - F.col("tp"))
+    out = out.withColumn("recall", F.when(F.col("nt") > 0, F.col("tp") / F.col("nt")))
+    out = out.withColumn("fp_per_frame", F.col("fp") / F.lit(frames))
+    envelope = F.max("recall").over(Window.orderBy("fp_per_frame"))
+    return out.select(F.col("score").alias("threshold"), "tp", "fp", "recall", "fp_per_frame", envelope.alias("envelope"))
+
+
 def audit_boxes(detections: DataFrame, height: int, width: int, margin: int = 0, min_extent: int = 4, max_aspect: float = 4.0) -> DataFrame:
     """Edge flags and shape gates of each box; boxes without area are left out."""
     top, left, bottom, right = boxes.sides("bbox_")
