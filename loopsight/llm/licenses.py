@@ -14,6 +14,18 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: [[1.]] [[a.]] {{redistributions|redistribution}} of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer. [[2.]] [[b.]] {{redistributions|redistribution}} in binary form
+    must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+    and/or other materials provided with the distribution. """
+_BSD_DISCLAIMER = """This software is provided by {{12}} "as is" and any express or implied warranties, including, but not
+    limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event
+    shall {{12}} be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but
+    not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption)
+    however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or
+    otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."""
+
 #: License wording as templates: [[...]] may be left out, {{n}} stands for up to n words of any kind,
 #: {{a|b}} for one of the given words. Punctuation and case don't matter. Each begins with fixed words.
 TEMPLATES = {
@@ -23,29 +35,34 @@ TEMPLATES = {
         limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
         Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
         The above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in
-        all copies or substantial portions of the Software.""",
+        all copies or substantial portions of the Software. The {{software|work}} is provided "as is", without warranty of
+        any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a
+        particular purpose and [[non]] {{noninfringement|infringement}}. In no event shall the {{8}} be liable for any claim,
+        damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in
+        connection with the {{software|work}} or the use or other dealings in the {{software|work}}.""",
         "released under the [[terms of the]] MIT License",
     ],
     "isc": [
         """Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    ],
-    "bsd-2": [
-        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-        the following conditions are met: [[1.]] Redistributions of source code must retain the above copyright notice,
-        this list of conditions and the following disclaimer. [[2.]] Redistributions in binary form must reproduce the
-        above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
-        materials provided with the distribution.""",
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies. The
+        software is provided "as is" and {{8}} {{disclaim|disclaims}} all warranties with regard to this software including all
+        implied warranties of merchantability and fitness. In no event shall {{8}} be liable for any special, direct,
+        indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether
+        in an action of contract, negligence or other tortious action, arising out of or in connection with the use or
+        performance of this software.""",
     ],
+    "bsd-2": [_BSD + _BSD_DISCLAIMER],
     "bsd-3": [
-        """Neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products
-        derived from this software without specific prior written permission.""",
+        _BSD
+        + """ [[3.]] [[c.]] Neither the {{name|names}} of {{12}} nor the names of {{3}} contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission. """
+        + _BSD_DISCLAIMER
     ],
     "apache-2": ["licensed under the Apache License, Version 2 [[0]]"],
     "gpl-2": ["GNU General Public License [[as published by the Free Software Foundation either]] version 2"],
     "gpl-3": ["GNU General Public License [[as published by the Free Software Foundation either]] version 3"],
     "lgpl": ["GNU {{lesser|library}} General Public License [[as published by the Free Software Foundation]]"],
-    "mpl-2": ["subject to the terms of the Mozilla Public License, v[[ersion]] 2 0"],
+    "mpl-2": ["subject to the terms of the Mozilla Public License, {{v|version}} 2 0"],
     "cc-by-nc": [
         "licensed under [[a]] [[the]] CC BY NC [[4 0]]",
         "Creative Commons Attribution NonCommercial [[{{2}} international]]",

@@ -17,7 +17,7 @@ import corpus_pipeline
 from loopsight.llm import queries
 from loopsight.llm.components import connected_components
 from loopsight.llm.decontaminate import ItemIndex, allowed_edits, benchmark_matches, best_alignment
-from loopsight.llm.licenses import Template, scan_licenses
+from loopsight.llm.licenses import TEMPLATES, Template, scan_licenses
 from loopsight.llm.common import plain_words
 from loopsight.llm.mixing import fit_lengths
 from loopsight.llm.secret_scan import redacted, scan_text
@@ -210,6 +210,25 @@ def test_templates():
     assert scan_licenses(b"GNU General Public License, version 3")["labels"] == "gpl-3"
 
 
+def test_templates_hold_whole_wordings():
+    for label, markups in TEMPLATES.items():
+        for markup in markups:
+            whole = markup
+            while (less := re.sub(r"\[\[(?:(?!\[\[|\]\]).)*\]\]", " ", whole, flags=re.DOTALL)) != whole:
+                whole = less
+            whole = re.sub(r"\{\{(?:\d+|([^}|]*)[^}]*)\}\}", lambda m: m[1] or "someone", whole)
+            words = whole.split()
+            assert label in scan_licenses(" ".join(words).encode())["labels"].split(",")
+            for i in range(len(words)):
+                if plain_words(words[i].encode()) and words[i] != "someone":
+                    changed = " ".join([*words[:i], "changed", *words[i + 1 :]])
+                    assert Template(markup).match(plain_words(changed.encode()), 0) is None
+    full = {label: TEMPLATES[label][0].lower() for label in ("mit", "isc", "bsd-2", "bsd-3")}
+    assert all('as is"' in x and "liable" in x for x in full.values())
+    for v in ("v. 2.0", "version 2.0", "v 2.0"):
+        assert scan_licenses(f"subject to the terms of the Mozilla Public License, {v}".encode())["labels"] == "mpl-2"
+
+
 def test_secrets(spark, documents):
     pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     got = {r["doc_id"]: r for r in queries.op8_secrets(spark, TINY).collect()}
