@@ -150,6 +150,6 @@ def quality_posterior(
 
 
 def site_of(url):
-    """(host, path) columns of a URL: its host, lower-cased, and the first segment of its path."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
+    """(host, path) columns of a URL: its host, lower-cased, without user and port, and the first segment of its path."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/]*\]|[^/?#:]+)", 1))
     return host, F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]*)", 1)
