@@ -18,32 +18,75 @@ WORD = r"[^\x20\x09-\x0D]+"
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, stored in the folder that spark.checkpoint.dir names, without its lineage.
 
-    A folder of this machine is used only where the cluster names none, as in tests.
+    Where neither the session's setting nor its context names one, as in a test on one machine, a
+    folder of this machine is used; on a cluster, whose executors couldn't share it, that's an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="loopsight-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
     return df.checkpoint()
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores more as it takes to differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of one Arrow batch of texts.
+TEXT_ROWS = 1000
+
+
+def text_batches() -> None:
+    """Has the session hand texts to Python in batches of up to TEXT_ROWS rows, unless it already does in smaller ones.
+
+    Each batch stands in memory several times, on both sides, and texts are long; Spark's own
+    10,000 rows are meant for numbers. The setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, column: str, n: int) -> DataFrame:
+    """df dealt by a column of numbers 0 to n - 1, each to a partition of its own.
+
+    Numbers that are hashed fall on the same partition by chance; here each is replaced by a value
+    whose hash is its partition.
+    """
+    spark = df.sparkSession
+    some = spark.range(64 + 24 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
+    values = dict(map(tuple, some.collect()))  # n rows: one for each task
+    if len(values) < n:
+        return df.repartition(n, column)
+    (key,) = free(df.columns, "key")
+    table = F.array(*[F.lit(values[p]) for p in range(n)])
+    return df.withColumn(key, F.get(table, F.col(column).cast("int"))).repartition(n, key).drop(key)
+
+
 def texts_of(column: pa.Array) -> list:
     """UTF-8 bytes of each text, None for null."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def strings_of(column: pa.Array) -> list:
-    return column.to_pylist()
-
-
 def lower_words(text: bytes | None) -> list[bytes]:
     """Whitespace words with A-Z lower-cased (bytes.lower leaves other letters alone)."""
     return text.lower().split() if text else []

@@ -1,64 +1,107 @@
 """Mixing sources to target weights by subset-sum budget fitting."""
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import WORD, checkpointed, cores
+from loopsight.llm.common import WORD, checkpointed, cores, free
 
-#: Budgets (in words) up to which the dynamic program covers a source's whole remainder.
-EXACT_WORDS = 1 << 14
 #: Parts by seeded hash into which the documents of one source and length are dealt.
 PARTS = 1024
+#: How many documents of each length, taken and left over, the program may exchange, and the most words (in units of the
+#: lengths' common divisor) that these have together; tried in turn until the nearest possible sum is met.
+LEVELS = ((1, 1 << 16), (1, 1 << 20), (8, 1 << 20), (64, 1 << 22), (None, 1 << 26))
+#: Bits that the program's tables hold at most.
+TABLE_BITS = 1 << 32
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: float, exact: int = EXACT_WORDS) -> np.ndarray:
-    """How many documents to take of each length so that their words come nearest to budget.
-
-    Up to `exact` words, a bounded-knapsack dynamic program finds the nearest reachable sum (the
-    lower of two equally near). A larger budget is first filled with the same share of every
-    length, rounded down, then from the longest length down, until the rest is that small; the
-    program then fits the rest from the documents left over.
-    """
-    taken = np.zeros(len(lengths), dtype=np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    total = float((lengths.astype(np.float64) * counts).sum())
-    left = int(round(min(max(budget, 0.0), total)))
-    if left > exact and total > 0:
-        taken = np.minimum(counts, np.floor(counts * (left / total)).astype(np.int64))
-        left -= sum(int(a) * int(b) for a, b in zip(lengths, taken, strict=True))
-        for i in order:
-            if left <= exact:
-                break
-            more = min(int(counts[i] - taken[i]), max(0, left - exact // 2) // int(lengths[i])) if lengths[i] else 0
-            taken[i] += more
-            left -= more * int(lengths[i])
-    if left <= 0:
-        return taken
-    # items: (length index, how many at once), the powers of two of what is left over
-    limit = 2 * left
-    items = []
-    reach = 1
-    for i in order:
-        spare, step = int(counts[i] - taken[i]), 1
-        size = int(lengths[i])
-        spare = min(spare, limit // size) if size else 0
-        while spare and not reach >> left & 1:
+def _subset(sizes: list[int], counts: list[int], goal: int, up: bool) -> tuple[int, list[int]]:
+    """(sum, how many of each size): the sum nearest to goal; of two equally near the lower, or if up the higher."""
+    limit = goal + max(sizes, default=0)  # a larger sum has a part that is nearer
+    mask = (1 << (limit + 1)) - 1
+    items, reach = [], 1
+    for i, (size, spare) in enumerate(zip(sizes, counts, strict=True)):
+        step = 1
+        spare = min(spare, limit // size)
+        while spare and not reach >> goal & 1:
             step = min(step, spare)
             spare -= step
-            new = (reach << (step * size)) & ((1 << (limit + 1)) - 1) & ~reach
+            new = (reach << (step * size)) & mask & ~reach
             if new:
                 items.append((i, step, new))
                 reach |= new
             step *= 2
-        if reach >> left & 1:
+        if reach >> goal & 1:
             break
-    goal = next(x for d in range(left + 1) for x in (left - d, left + d) if reach >> x & 1)
+    low = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    high = reach >> (goal + 1)
+    high = goal + (high & -high).bit_length() if high else None
+    best = at = high if high is not None and high - goal < goal - low + up else low
+    used = [0] * len(sizes)
     for i, step, new in reversed(items):
-        if new >> goal & 1:
-            taken[i] += step
-            goal -= step * int(lengths[i])
+        if new >> at & 1:
+            used[i] += step
+            at -= step * sizes[i]
+    return best, used
+
+
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
+    """How many documents to take of each length so that their words come nearest to budget.
+
+    At every size: the same share of every length, rounded down, then what still fits from the
+    longest length down. A bounded-knapsack program then exchanges documents: of each length, as
+    many as the level allows of those taken and of those left over are its items, and it finds the
+    sum of them nearest to what is missing (the lower of two equally near). Levels grow until
+    the sum is the nearest multiple of the lengths' common divisor, or all documents are items and
+    the sum is the nearest there is. Only where all documents have more than the last level's words
+    (in units of the divisor) can a nearer sum be missed; the error is then at most half the
+    shortest length left over.
+    """
+    taken = np.zeros(len(lengths), dtype=np.int64)
+    some = [i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > 0]
+    if not some:
+        return taken
+    unit = math.gcd(*(int(lengths[i]) for i in some))
+    size = {i: int(lengths[i]) // unit for i in some}
+    total = sum(size[i] * int(counts[i]) for i in some)
+    units, rest = divmod(min(max(int(round(budget)), 0), total * unit), unit)
+    goal = units + (2 * rest > unit)
+    up = 0 < 2 * rest <= unit  # the budget itself lies above the goal
+    left = goal
+    for i in some:
+        taken[i] = int(counts[i]) * goal // total
+        left -= size[i] * int(taken[i])
+    for i in sorted(some, key=lambda i: -size[i]):
+        more = min(int(counts[i] - taken[i]), left // size[i])
+        taken[i] += more
+        left -= more * size[i]
+    best, found = left, None
+    for most, words in LEVELS:
+        if not best:
+            break
+        pool, used, items = [], 0, 0
+        for i in sorted(some, key=size.get):
+            back, more = (int(n) if most is None else min(most, int(n)) for n in (taken[i], counts[i] - taken[i]))
+            if used + (back + more) * size[i] > words:
+                break
+            used += (back + more) * size[i]
+            items += (back + more).bit_length()
+            pool.append((i, back, back + more))
+        if used * items > TABLE_BITS:
+            continue
+        wanted = left + sum(back * size[i] for i, back, _ in pool)
+        # long documents first: fewer items reach the goal
+        pool.reverse()
+        got, chosen = _subset([size[i] for i, _, _ in pool], [n for _, _, n in pool], wanted, up)
+        if abs(wanted - got) < abs(best) or abs(wanted - got) == abs(best) and (got > wanted) == up != (best < 0):
+            best, found = wanted - got, [(i, n - back) for (i, back, _), n in zip(pool, chosen, strict=True)]
+        if len(pool) == len(some) and all(n == counts[i] for i, _, n in pool):
+            break
+    for i, change in found or ():
+        taken[i] += change
     return taken
 
 
@@ -98,6 +141,10 @@ def source_targets(totals: DataFrame, source: str, cap: float = 3.0, weights: tu
     return rows.withColumn("target", target).drop("__weight", "__cap")
 
 
+#: Columns that mix_sources adds, in this order.
+ADDED = ("size", "source_size", "target", "copies")
+
+
 def mix_sources(
     documents: DataFrame,
     text: str = "text",
@@ -107,54 +154,58 @@ def mix_sources(
     cap: int = 3,
     weights: tuple = (1, 2, 3),
     keep_text: bool = True,
+    names: tuple = ADDED,
 ) -> DataFrame:
-    """Rows of documents with __size, __source_size, __target and __copies (0 to cap).
+    """Rows of documents with size, source_size, target and copies (0 to cap), under the names given.
 
     Size is the number of whitespace words (null text: 0). A source takes each document as often
     as its target holds its whole size; for the remaining budget, documents are counted by exact
     length, the bounded-knapsack program says how many of each length are taken once more, and
     those with the smallest seeded hash of doc_id are. Null sources are one source; rows without
-    words are never taken; repeated rows and null ids count as rows of their own (equal rows are
-    interchangeable, so reruns agree). Extra columns are kept unless keep_text is false, which
-    keeps doc_id and source only. An empty table gives no rows.
+    words are never taken; repeated rows and null ids (hashed by their text) count as rows of their
+    own (equal rows are interchangeable, so reruns agree). Extra columns are kept unless keep_text
+    is false, which keeps doc_id and source only; a name given that documents has already gets an
+    underscore. An empty table gives no rows.
 
     Only counts by (source, length) reach one task, at most one row for each length that occurs.
     The documents of one source and length are dealt into PARTS hash parts; a part is ranked only
     within itself, so a hot source or length doesn't meet in one task.
     """
     kept = documents.columns if keep_text else [doc_id, source]
-    rows = documents.select(*[documents[f"`{c}`"] for c in kept], documents[text].alias("__text"))
-    rows = rows.withColumn("__size", F.coalesce(F.regexp_count(F.col("__text"), F.lit(WORD)), F.lit(0)).cast("long"))
-    rows = rows.drop("__text").withColumn("__hash", F.xxhash64(F.lit(seed), F.col(doc_id)))
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64(F.col("__hash")), F.lit(PARTS)).cast("int"))
-    named = F.concat(F.lit("="), F.col(source).cast("string"))
-    rows = rows.withColumn("__source", F.coalesce(named, F.lit("~")))  # never null, and null last
-    key = ["__source", "__size", "__part"]
-    counts = checkpointed(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")))
-    lengths = checkpointed(counts.groupBy("__source", "__size").agg(F.sum("__n").alias("__n")))
-    totals = lengths.groupBy("__source").agg(F.sum(F.col("__size") * F.col("__n")).alias("source_size"))
-    targets = checkpointed(source_targets(totals, "__source", cap, weights))
+    size, total, target, copies, body, place, part, site, n, before, whole, more, rank = free(
+        kept, *names, "body", "place", "part", "site", "n", "before", "whole", "more", "rank"
+    )
+    rows = documents.select(*[documents[f"`{c}`"] for c in kept], documents[f"`{text}`"].alias(body))
+    rows = rows.withColumn(size, F.coalesce(F.regexp_count(F.col(body), F.lit(WORD)), F.lit(0)).cast("long"))
+    key = F.col(f"`{doc_id}`")
+    rows = rows.withColumn(place, F.xxhash64(F.lit(seed), key, F.when(key.isNull(), F.xxhash64(body)))).drop(body)
+    rows = rows.withColumn(part, F.pmod(F.xxhash64(F.col(place)), F.lit(PARTS)).cast("int"))
+    named = F.concat(F.lit("="), F.col(f"`{source}`").cast("string"))
+    rows = rows.withColumn(site, F.coalesce(named, F.lit("~")))  # never null, and null last
+    counts = checkpointed(rows.groupBy(site, size, part).agg(F.count(F.lit(1)).alias(n)))
+    lengths = checkpointed(counts.groupBy(F.col(site).alias("site"), F.col(size).alias("size")).agg(F.sum(n).alias("n")))
+    totals = lengths.groupBy("site").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    targets = checkpointed(source_targets(totals, "site", cap, weights))
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__size", kind="stable")
-        total, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-        whole = min(cap, int(target // total)) if total else 0
-        more = np.zeros(len(pdf), dtype=np.int64)
-        if total and whole < cap:
-            more = fit_lengths(pdf["__size"].to_numpy(), pdf["__n"].to_numpy(), target - whole * total)
-        out = pdf[["__source", "__size"]].assign(__source_size=total, __target=target)
-        return out.assign(__whole=whole, __more=more)
-
-    plan = lengths.join(targets, "__source").groupBy("__source").applyInPandas(
-        fitted, "__source string, __size long, __source_size long, __target double, __whole long, __more long"
+        pdf = pdf.sort_values("size", kind="stable")
+        held, wanted = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
+        times = min(cap, int(wanted // held)) if held else 0
+        once = np.zeros(len(pdf), dtype=np.int64)
+        if held and times < cap:
+            once = fit_lengths(pdf["size"].to_numpy(), pdf["n"].to_numpy(), wanted - times * held)
+        return pdf[["site", "size"]].assign(source_size=held, target=wanted, whole=times, more=once)
+
+    plan = lengths.join(targets, "site").groupBy("site").applyInPandas(
+        fitted, "site string, size long, source_size long, target double, whole long, more long"
     )
-    earlier = Window.partitionBy("__source", "__size").orderBy("__part")
-    shares = counts.withColumn("__before", F.sum("__n").over(earlier) - F.col("__n"))
-    left = F.greatest(F.lit(0), F.least(F.col("__n"), F.col("__more") - F.col("__before")))
-    shares = shares.join(plan, ["__source", "__size"]).withColumn("__more", left).drop("__n", "__before")
-    shares = checkpointed(shares)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("__hash", F.col(doc_id)))
-    out = rows.withColumn("__rank", rank).join(shares, key)
-    once = (F.col("__rank") <= F.col("__more")).cast("long")
-    copies = F.when(F.col("__size") == 0, F.lit(0).cast("long")).otherwise(F.col("__whole") + once)
-    return out.select(*[f"`{c}`" for c in kept], "__size", "__source_size", "__target", copies.alias("__copies"))
+    plan = plan.toDF(site, size, total, target, whole, more)
+    earlier = Window.partitionBy(site, size).orderBy(part)
+    shares = counts.withColumn(before, F.sum(n).over(earlier) - F.col(n))
+    left = F.greatest(F.lit(0), F.least(F.col(n), F.col(more) - F.col(before)))
+    shares = checkpointed(shares.join(plan, [site, size]).withColumn(more, left).drop(n, before))
+    ranked = F.row_number().over(Window.partitionBy(site, size, part).orderBy(place, F.col(f"`{doc_id}`")))
+    out = rows.withColumn(rank, ranked).join(shares, [site, size, part])
+    once = (F.col(rank) <= F.col(more)).cast("long")
+    taken = F.when(F.col(size) == 0, F.lit(0).cast("long")).otherwise(F.col(whole) + once)
+    return out.select(*[f"`{c}`" for c in kept], size, total, target, taken.alias(copies))

@@ -51,10 +51,7 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), keep_text=False)
-    return mixed.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"),
-    )
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
