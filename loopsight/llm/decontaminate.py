@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, mixed, plain_words, texts_of
+from loopsight.llm.common import U64, WordHashes, checkpointed, free, mixed, plain_words, text_batches, text_key, texts_of
 
 #: Edits (in words) up to this share of an item's words are a match.
 EDITS = 0.2
@@ -183,7 +183,7 @@ class ItemIndex:
             k = allowed_edits(len(item), self.share)
             runs: list[list[int]] = []
             for s in sorted(starts):
-                if runs and s - runs[-1][1] <= k + 1:
+                if k and runs and s - runs[-1][1] <= k + 1:
                     runs[-1][1] = s
                 else:
                     runs.append([s, s])
@@ -203,15 +203,19 @@ class ItemIndex:
 _FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, share: float) -> list[ItemIndex]:
-    """Indexes of all items with words, each of up to about BLOCK_WORDS words."""
+_MATCHES = "array<struct<item_id:long,start:long,end:long,edits:long>>"
+
+
+def _sized(items: DataFrame, item_id: str, text: str) -> tuple[int, DataFrame]:
+    """(blocks of about BLOCK_WORDS words, (i, t) of all items with an id and a text)."""
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    rows = rows.withColumn("n", F.length("t"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-total // (6 * BLOCK_WORDS)))
-    for b in range(n):
-        block = rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b) if n > 1 else rows
-        yield ItemIndex(sorted({(r["i"], r["t"].encode()) for r in block.collect()}), share)
+    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    return max(1, -(-total // (6 * BLOCK_WORDS))), rows
+
+
+def _collected(block: DataFrame) -> list[tuple[int, bytes]]:
+    """The items of one block, whose size is bounded."""
+    return sorted({(r["i"], r["t"].encode()) for r in block.collect()})
 
 
 def benchmark_matches(
@@ -223,21 +227,36 @@ def benchmark_matches(
     Words are runs of letters and digits, A-Z lower-cased. An item of n words is found where some
     run of words is within int(share * n) word edits of it; start and end are word numbers. Windows
     of an item's length are embedded and looked up in the item's tables; those that share a bucket
-    with an item are aligned exactly. Items without words, null items and null ids are never
+    with an item are aligned exactly; starts up to k + 1 words apart are one place, reported once at its nearest run (the first
+    end, then the longest, of equals); without edits allowed each start is a place. Items without words, null items and null ids are never
     found; null and empty texts hold nothing; a repeated item is found once for each id. All rows
     and columns stay.
     """
-    out, parts = documents, []
-    for b, index in enumerate(_blocks(items, item_id, item_text, share)):
-        parts.append(f"__matches_{b}")
-        out = out.withColumn(parts[-1], _searched(F.col(text), index, documents.sparkSession))
-    return out.withColumn(name, F.flatten(F.array(*parts))).drop(*parts)
+    spark = documents.sparkSession
+    n, rows = _sized(items, item_id, item_text)
+    if n == 1:
+        index = ItemIndex(_collected(rows), share)
+        return documents.withColumn(name, _searched(F.col(f"`{text}`"), spark.sparkContext.broadcast(index)))
+    # a block of items is sent, searched for and taken back before the next: what executors hold doesn't grow with the items
+    key, t1, t2, part = free(documents.columns, "key", "t1", "t2", "part")
+    keyed = documents.select("*", *(x.alias(c) for x, c in zip(text_key(F.col(f"`{text}`")), (t1, t2), strict=True)))
+    one = checkpointed(documents.select(*text_key(F.col(f"`{text}`")), F.col(f"`{text}`").alias("text")).dropDuplicates(["t1", "t2"]))
+    found = None
+    for b in range(n):
+        sent = spark.sparkContext.broadcast(ItemIndex(_collected(rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b)), share))
+        held = one.select("t1", "t2", _searched(F.col("text"), sent).alias("m")).where(F.size("m") > 0)
+        held = checkpointed(held)
+        sent.destroy()
+        found = held if found is None else found.unionByName(held)
+    found = found.groupBy("t1", "t2").agg(F.flatten(F.collect_list("m")).alias(name)).withColumnsRenamed({"t1": key, "t2": part})
+    out = keyed.join(found, (keyed[t1] == F.col(key)) & (keyed[t2] == F.col(part)), "left").drop(key, part, t1, t2)
+    return out.withColumn(name, F.coalesce(F.col(name), F.array().cast(_MATCHES)))
 
 
-def _searched(text, index: ItemIndex, spark):
-    sent = spark.sparkContext.broadcast(index)
+def _searched(text, sent):
+    text_batches()
 
-    @F.arrow_udf("array<struct<item_id:long,start:long,end:long,edits:long>>")
+    @F.arrow_udf(_MATCHES)
     def of(column: pa.Array) -> pa.Array:
         return pa.array(sent.value.search(map(plain_words, texts_of(column))), type=_FOUND)
 
