@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WORD, WordHashes, lower_words, mixed, texts_of
+from loopsight.llm.common import U64, WORD, WordHashes, lower_words, mixed, text_batches, texts_of
 
 #: Words of one batch of documents, within which n-grams are counted before they are shuffled.
 BATCH_WORDS = 2_200_000
@@ -107,6 +107,7 @@ def score_documents(
     them to the batch's n-grams. A frequent n-gram is one row of each batch, so none is hot.
     """
     kind = "batch long, ids binary, nulls binary, lengths array<int>, words binary, tokens binary, n long"
+    text_batches()
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     batches = rows.mapInArrow(_batches, kind).repartition("batch")  # one exchange, which both of its uses read
     total = rows.agg(F.sum(F.regexp_count("text", F.lit(WORD)).cast("long"))).first()[0] or 0

@@ -5,7 +5,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import plain_words, texts_of
+from loopsight.llm.common import plain_words, text_batches, texts_of
 
 #: Fixed values of the contract: phrases and their labels.
 PHRASES = {
@@ -223,6 +223,8 @@ def license_scan(text):
     word spans. Null and empty texts have no words, no labels and score 0.
     """
 
+    text_batches()
+
     @F.arrow_udf(_SCHEMA)
     def of(column: pa.Array) -> pa.Array:
         return pa.array([scan_licenses(x) for x in texts_of(column)], type=_FOUND)

@@ -1,4 +1,4 @@
-"""Near copies at a stated similarity, by exact prefix filtering over sets of shingles."""
+"""Near copies at a stated similarity: SimHash by multi-index hashing, then exact prefix filtering for what it misses."""
 
 import math
 
@@ -8,9 +8,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, checkpointed, lower_words, mixed, run_hashes, text_key, texts_of
+from loopsight.llm.common import U64, WordHashes, checkpointed, lower_words, mixed, run_hashes, text_batches, text_key, texts_of
 from loopsight.llm.components import connected_components
-from loopsight.llm.simhash import keep_first
+from loopsight.llm.simhash import keep_first, link_fingerprints, majority_bits
 
 #: Shingles in several of every 16th set are common and come last in the order of prefixes. The order only decides how many
 #: candidates there are; any order that is the same for all texts finds all links, so the list may be short.
@@ -23,6 +23,8 @@ _SENT = 100_000
 _ASKED = 500_000
 #: Words whose hashes a worker remembers, and texts it holds at once.
 _WORDS, _TEXTS = 100_000, 256
+#: Differing bits at which fingerprints link, and rounds of stars before all that is left of a key is compared.
+_RADIUS, _ROUNDS = 2, 2
 #: Slack of float comparisons that rule a pair out before it is compared exactly.
 _SLACK = 1e-9
 
@@ -82,10 +84,11 @@ def _common(documents: DataFrame, text: str, shingle: int) -> tuple[np.ndarray,
 
 
 def _described(text, shingle: int, similarity: float, common: np.ndarray, counts: np.ndarray):
-    """A struct column: size, 128-bit hash, parities and prefix of a text's set of shingles."""
-    kind = pa.struct([("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    """A struct column: size, 128-bit hash, parities and prefix of a text's set of shingles, its SimHash and its rare shingles' number."""
+    names = ("n", "s1", "s2", "rare", "fp", "bits", "prefix")
+    kind = pa.struct([(c, pa.int64()) for c in names[:5]] + [("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("n long, s1 long, s2 long, bits binary, prefix array<long>")
+    @F.arrow_udf("n long, s1 long, s2 long, rare long, fp long, bits binary, prefix array<long>")
     def of(column: pa.Array) -> pa.Array:
         hashes, out = WordHashes(most=_WORDS), []
         for at in range(0, len(column), _TEXTS):
@@ -94,7 +97,9 @@ def _described(text, shingle: int, similarity: float, common: np.ndarray, counts
                 s = shingle_set(x, shingle, hashes)
                 s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
                 first = prefix(s, similarity, common, counts).view(np.int64)
-                some.append({"n": len(s), "s1": s1, "s2": s2, "bits": parities(s), "prefix": first})
+                rare = len(s) - int(np.isin(s, common, assume_unique=True).sum())
+                fp = np.array([majority_bits(s)], dtype=U64).view(np.int64)[0]
+                some.append(dict(zip(names, (len(s), s1, s2, rare, fp, parities(s), first), strict=True)))
             out.append(pa.array(some, type=kind))
         return pa.concat_arrays(out) if out else pa.array([], type=kind)
 
@@ -123,42 +128,73 @@ def _similarity(a, b, shingle: int):
 
 
 def _entries(prints: DataFrame) -> DataFrame:
-    """(key, id): the prefix of each set."""
-    return prints.select(F.explode("prefix").alias("key"), "id")
+    """(key, id, rare, n, at): the prefix of each set, each with its place in the order."""
+    return prints.select(F.posexplode("prefix").alias("at", "key"), "id", "rare", "n").select("key", "id", "rare", "n", "at")
+
+
+def _centred(entries: DataFrame) -> DataFrame:
+    """(key, id, rare, n, at, centre, nc): entries of keys that several sets share, with the key's set of fewest rare shingles.
+
+    Copies of one text have what it holds in common and rare shingles where they were edited, so the
+    text that they were made from is the centre wherever it's there. The minimum is summed up before
+    it's shuffled; where a key is hot, the join back is one that Spark can split.
+    """
+    first = F.min(F.struct("rare", "id", "n")).alias("c")
+    centres = entries.groupBy("key").agg(first, F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    centres = centres.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("nc"))
+    return entries.join(centres, "key")
 
 
 def _stars(prints: DataFrame) -> DataFrame:
-    """(key, id, centre): the entries of each key that several texts share, with its smallest id."""
+    """_centred entries; keys that a sample shows to be hot are dealt out before rows are gathered by key."""
     entries = _entries(prints)
     some = _entries(prints.where(F.xxhash64("id") % _SAMPLE == 0))
     hot = checkpointed(some.groupBy("key").count().where(F.col("count") >= _HOT).select("key"))
     few = hot.count() <= _SENT
     keys = F.broadcast(hot) if few else hot
     by_key = Window.partitionBy("key")
+    first = F.min(F.struct("rare", "id", "n")).over(by_key)
     calm = entries.join(keys, "key", "left_anti") if not hot.isEmpty() else entries
-    stars = calm.withColumns({"centre": F.min("id").over(by_key), "most": F.max("id").over(by_key)})
-    stars = stars.where("centre < most").select("key", "id", "centre")
-    if hot.isEmpty():
-        return stars
-    busy = entries.join(keys, "key", "left_semi")
-    centres = busy.groupBy("key").agg(F.min("id").alias("centre"))  # summed up before it is shuffled
-    return stars.unionByName(busy.join(F.broadcast(centres) if few else centres, "key").select("key", "id", "centre"))
+    stars = calm.withColumns({"c": first, "low": F.min("id").over(by_key), "high": F.max("id").over(by_key)}).where("low < high")
+    stars = stars.select("key", "id", "rare", "n", "at", F.col("c.id").alias("centre"), F.col("c.n").alias("nc"))
+    return stars if hot.isEmpty() else stars.unionByName(_centred(entries.join(keys, "key", "left_semi")))
+
 
+def _fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids whose SimHashes differ in up to _RADIUS bits: a star for each fingerprint, and one pair for two of them."""
+    first = checkpointed(prints.groupBy("fp").agg(F.min(F.struct("rare", "id"))["id"].alias("first")))
+    same = prints.select("fp", "id").join(first, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    links = link_fingerprints(first.select("fp"), _RADIUS)
+    left, right = (first.select(F.col("fp").alias(c), F.col("first").alias(f"i{c}")) for c in ("a", "b"))
+    return same.unionByName(links.join(left, "a").join(right, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b")))
 
-def _possible(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that sizes and parities don't rule out; none of the similarity is lost."""
+
+def _close(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """(a, b, most): the pairs, each once, whose sizes and parities allow a similarity of `least`, with the highest they allow."""
     left = prints.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     right = prints.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    even = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - _SLACK
-    met = pairs.join(left, "a").join(right, "b").where(even)
-    return met.where(_most(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb")) >= similarity - _SLACK).select("a", "b")
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    even = F.least("na", "nb") >= F.greatest("na", "nb") * least - _SLACK
+    met = once.join(left, "a").join(right, "b").where(even)
+    return met.select("a", "b", _most(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb")).alias("most")).where(F.col("most") >= least - _SLACK)
+
+
+def _rooted(rows: DataFrame, links: DataFrame, *ids: str) -> DataFrame:
+    """rows with the root of each of the id columns as r<id>; links is what connected_components gives."""
+    for c in ids:
+        named = links.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        rows = rows.join(named, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    return rows
+
+
+def _even(n, m, least: float):
+    """Whether the sizes allow a similarity of `least`."""
+    return F.least(n, m) >= F.greatest(n, m) * least - _SLACK
 
 
-def _apart(pairs: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """The pairs that links don't join yet; links is what connected_components gives."""
-    left, right = (links.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in (a, b))
-    met = pairs.join(left, a, "left").join(right, b, "left")
-    return met.where(F.coalesce(f"r{a}", a) != F.coalesce(f"r{b}", b)).drop(f"r{a}", f"r{b}")
+def _may_begin(n, x, m, y, similarity: float):
+    """Whether sets of sizes n and m whose first common shingle is at places x and y can reach the similarity."""
+    return F.least(n - x, m - y) * (1 + similarity) >= (n + m) * similarity - _SLACK
 
 
 def near_copy_groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -169,21 +205,29 @@ def near_copy_groups(documents: DataFrame, text: str = "text", doc_id: str = "do
     text of fewer words is one shingle. Repeated rows stay; null ids are ids like any other; other
     columns are ignored; an empty table gives no rows.
 
-    No link is lost and none is guessed: two sets of that similarity have a shingle of their
-    prefixes in common, sizes and parities rule out only pairs that can't reach it, and what is
-    left is compared on the texts' shingles. Within a key all are compared with its smallest set
-    alone; those that aren't joined with it (and only those) also with all others, so nothing is
-    capped and a group of copies isn't expanded into pairs.
+    Candidates come from the texts' SimHashes (distinct shingles, 64 bits), linked at up to two
+    bits by multi-index hashing, and, as that misses most pairs near the similarity, from prefix
+    filtering: two sets of that similarity have a shingle of their prefixes in common. Sizes, places
+    and parities rule out only pairs that can't reach it; all others are compared on the texts'
+    shingles. So no link is lost and none is guessed.
+
+    Within a key all are compared with one centre (see _stars). The similarity's complement is a
+    metric: a set near the centre and one further than twice the distance that links can't be
+    linked. So what isn't near goes on to a centre of its own, what is neither is compared with
+    those near the centre, and only what is left after _ROUNDS centres is compared among itself; of
+    all these only sets that links don't join yet. Nothing is capped, and a group of copies isn't
+    expanded into pairs.
     """
+    text_batches()
     key = text_key(F.col(text))
     # texts are read where they lie; only what describes their sets is shuffled
     about = _described(F.col(text), shingle, similarity, *_common(documents, text, shingle))
     rows = checkpointed(documents.select(F.col(doc_id).alias("doc_id"), *key, about.alias("x")).select("doc_id", "t1", "t2", "x.*"))
-    prints = rows.groupBy("s1", "s2").agg(F.min(F.struct("t1", "t2", "n", "bits", "prefix")).alias("first"))
+    prints = rows.groupBy("s1", "s2").agg(F.min(F.struct("t1", "t2", "n", "rare", "fp", "bits", "prefix")).alias("first"))
     prints = checkpointed(prints.select("s1", "s2", "first.*", F.monotonically_increasing_id().alias("id")))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        asked = checkpointed(pairs)
+    def compared(asked: DataFrame) -> DataFrame:
+        """(a, b) of the pairs whose texts have the similarity."""
         ends = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = checkpointed(prints.join(ends, "id", "left_semi").select("id", "t1", "t2"))
         few = F.broadcast(wanted) if wanted.count() <= _ASKED else wanted
@@ -191,15 +235,39 @@ def near_copy_groups(documents: DataFrame, text: str = "text", doc_id: str = "do
         shown = asked.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return checkpointed(shown.where(_similarity(F.col("ta"), F.col("tb"), shingle) >= similarity).select("a", "b"))
 
-    stars = checkpointed(_stars(prints))
-    spokes = stars.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = similar(_possible(spokes, prints, similarity))
-    known = checkpointed(connected_components(links))
-    others = _apart(stars.where("id <> centre"), known, "centre", "id").select("key", F.col("id").alias("x"))
-    others = others.join(stars.select("key", F.col("id").alias("y"), "centre"), "key")
-    others = others.where((F.col("x") != F.col("y")) & (F.col("y") != F.col("centre")))
-    others = others.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    roots = connected_components(links.unionByName(similar(_apart(_possible(others, prints, similarity), known))))
+    far = 2 * similarity - 1  # below this a set can't be linked to one that is near the centre
+    stars, links, cross = checkpointed(_stars(prints)), None, []
+    for turn in range(_ROUNDS):
+        spokes = stars.where((F.col("id") != F.col("centre")) & _even(F.col("n"), F.col("nc"), far)).select(F.col("centre").alias("a"), F.col("id").alias("b"))
+        close = checkpointed(_close(spokes if turn else spokes.unionByName(_fingerprint_pairs(prints)), prints, far))
+        near = compared(close.where(F.col("most") >= similarity - _SLACK).select("a", "b"))
+        links = near if links is None else links.unionByName(near)
+        a, b = F.least("id", "centre"), F.greatest("id", "centre")
+        kind = close.join(near.withColumn("linked", F.lit(2)), ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(1)).alias("kind"))
+        judged = stars.withColumns({"a": a, "b": b}).join(kind, ["a", "b"], "left").drop("a", "b")
+        judged = checkpointed(judged.withColumn("kind", F.when(F.col("id") == F.col("centre"), 3).otherwise(F.coalesce("kind", F.lit(0)))))
+        cross.append((judged.where("kind = 1"), judged.where("kind = 2")))
+        rest = judged.where("kind < 2").select("key", "id", "rare", "n", "at")
+        stars = checkpointed(_centred(rest))
+        if stars.isEmpty():
+            break
+    else:
+        cross.append((stars, stars))
+    roots = checkpointed(connected_components(links))
+    met = None
+    for one, other in cross:
+        left = one.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"))
+        right = other.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("py"))
+        both = left.join(right, "key").where((F.col("x") < F.col("y")) if one is other else (F.col("x") != F.col("y")))
+        both = both.where(_even(F.col("nx"), F.col("ny"), similarity) & _may_begin(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), similarity))
+        both = both.select("x", "y").distinct()
+        met = both if met is None else met.unionByName(both)
+    met = _rooted(met, roots, "x", "y").where("rx <> ry").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    close = checkpointed(_close(met, prints, similarity).select("a", "b"))
+    if not close.isEmpty():
+        more = compared(close)
+        if not more.isEmpty():
+            roots = connected_components(links.unionByName(more))
     named = prints.join(roots, prints["id"] == roots["node"], "left").select("s1", "s2", F.coalesce("root", "id").alias("root"))
     return rows.select("doc_id", "t1", "t2", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "t1", "t2", "root")
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import checkpointed, texts_of
+from loopsight.llm.common import checkpointed, text_batches, texts_of
 
 #: Labelled rows that the document classifier is fitted on, at most.
 MAX_ROWS = 20_000
@@ -111,6 +111,7 @@ def quality_posterior(
     repeated rows count and are returned each; labels that are null are left out, of several of
     one id the largest counts. Without labels evidence is 0.5. Other columns are ignored.
     """
+    text_batches()
     rows = documents.select(
         F.col(doc_id).alias("doc_id"), host.alias("__host"), path.alias("__path"),
         features_column(F.col(text)).alias("__x"),

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loopsight.llm.common import text_batches
+
 KINDS = ("assign", "access", "hex")
 #: Fixed values of the contract.
 _ASSIGN = re.compile(
@@ -350,6 +352,8 @@ def secret_spans(text):
     span of the whole text that it was decoded from.
     """
 
+    text_batches()
+
     @F.arrow_udf("n_assign long, n_access long, n_hex long, base string, spans string, layers long, cut long")
     def of(column: pa.Array) -> pa.Array:
         out = []
@@ -369,6 +373,8 @@ def redact_secrets(documents: DataFrame, text: str = "text", n_chars: str | None
     Rows without secrets, null texts among them, stay as they are, and so do all other columns.
     """
 
+    text_batches()
+
     @F.arrow_udf("string")
     def clean(column: pa.Array) -> pa.Array:
         return pa.array([redacted(x, scan_text(x)[1]) if x else x for x in column.to_pylist()], type=pa.string())

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, checkpointed, lower_words, text_key, texts_of
+from loopsight.llm.common import U64, checkpointed, free, lower_words, text_batches, text_key, texts_of
 from loopsight.llm.components import connected_components
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -27,15 +27,18 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - shingle + 1]
     ends = ends[shingle - 1 :]
-    counts = np.zeros(64, dtype=np.int64)
     of = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), _CHUNK):
-        pairs = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)
-        hashes = np.array([of(joined[s:e], seed) for s, e in pairs], dtype=U64)
-        lanes = hashes.view(np.uint8).reshape(-1, 8) + _LANES
-        seen = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256)
-        counts += (seen @ _BYTE_BITS).ravel()
-    return int(_WEIGHTS[2 * counts > len(starts)].sum()) if len(starts) else 0
+    pairs = zip(starts.tolist(), ends.tolist(), strict=True)
+    return majority_bits(np.fromiter((of(joined[s:e], seed) for s, e in pairs), dtype=U64, count=len(starts)))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, unsigned; 0 without any."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        lanes = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8) + _LANES
+        counts += (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS).ravel()
+    return int(_WEIGHTS[2 * counts > len(hashes)].sum()) if len(hashes) else 0
 
 
 def fingerprint_column(text, shingle: int = 3, seed: int = 42):
@@ -133,6 +136,7 @@ def simhash_components(
     with its row. Other columns are ignored, whatever their names; an empty table gives no rows.
     Exact copies are one fingerprint: only distinct fingerprints are linked.
     """
+    text_batches()
     rows = documents.select(
         F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), fingerprint_column(F.col(text), shingle, seed).alias("fp")
     )
@@ -161,24 +165,14 @@ def keep_first(documents: DataFrame, rows: DataFrame, text: str = "text", doc_id
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("first")
     kept = checkpointed(rows.groupBy("root").agg(first).select("first.doc_id", "first.t1", "first.t2"))
-    kept = kept.select(*[F.col(c).alias(f"__kept_{c}") for c in kept.columns])
-    t1, t2 = text_key(documents[text])
-    keyed = documents.select("*", t1.alias("__t1"), t2.alias("__t2"))
-    same = (
-        keyed[doc_id].eqNullSafe(F.col("__kept_doc_id"))
-        & (keyed["__t1"] == F.col("__kept_t1"))
-        & (keyed["__t2"] == F.col("__kept_t2"))
-    )
+    a, b, name, k_id, k1, k2 = free(documents.columns, "t1", "t2", "name", "k_id", "k1", "k2")
+    kept = kept.toDF(k_id, k1, k2)
+    t1, t2 = text_key(documents[f"`{text}`"])
+    keyed = documents.select("*", t1.alias(a), t2.alias(b))
+    same = keyed[f"`{doc_id}`"].eqNullSafe(F.col(k_id)) & (keyed[a] == F.col(k1)) & (keyed[b] == F.col(k2))
     out = keyed.join(kept, same, "left_semi")
     repeated = rows.groupBy("doc_id", "t1", "t2").count().where("count > 1")
     if not repeated.isEmpty():
-        out = out.withColumn("__id", F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-        out = out.dropDuplicates(["__id", "__t1", "__t2"]).drop("__id")
-    return out.drop("__t1", "__t2")
-
-
-def simhash_dedup(
-    documents: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 2
-) -> DataFrame:
-    """The rows of documents, all columns, less all but one document of each group of linked fingerprints."""
-    return keep_first(documents, simhash_components(documents, text, doc_id, shingle, radius), text, doc_id)
+        out = out.withColumn(name, F.coalesce(F.concat(F.lit("="), F.col(f"`{doc_id}`").cast("string")), F.lit("~")))
+        out = out.dropDuplicates([name, a, b]).drop(name)
+    return out.drop(a, b)

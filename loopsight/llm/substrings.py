@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, checkpointed, run_hashes, text_key, texts_of
+from loopsight.llm.common import U64, WordHashes, checkpointed, run_hashes, text_batches, text_key, texts_of
 
 #: Words of a window, and of the grams that windows are found by.
 WINDOW, GRAM = 35, 12
@@ -141,6 +141,7 @@ def repeated_phrases(
     Exact copies of a text are worked on once. Counts are pre-aggregated, so a passage that many
     documents share is one row for each task.
     """
+    text_batches()
     rows = documents.select(
         F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), _anchors_column(F.col(text), window, gram).alias("x")
     )

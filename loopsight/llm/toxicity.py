@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, mixed, plain_words, texts_of
+from loopsight.llm.common import U64, WordHashes, mixed, plain_words, text_batches, texts_of
 
 #: Hashed features; weights are 2 ** BITS values at most, which bounds what is broadcast.
 BITS = 20
@@ -72,21 +72,23 @@ def train(
     rows = rows.join(F.broadcast(chosen), "__id")  # max_rows rows at most
     rows = rows.groupBy("__id").agg(F.min("__text").alias("__text"), F.max("__label").alias("__label"))
 
+    text_batches()
+
     @F.arrow_udf("array<int>")
     def hashed(column: pa.Array) -> pa.Array:
         hashes = WordHashes()
         found = [features(plain_words(x), hashes, bits).astype(np.int32) for x in texts_of(column)]
         return pa.array(found, type=pa.list_(pa.int32()))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:  # holds features as 32-bit numbers, those of several documents twice
         pdf = pdf.sort_values("__id", kind="stable")
         model, order = Ftrl(bits, l1=l1, alpha=alpha), np.arange(len(pdf))
-        at = [np.asarray(x, dtype=np.int64) for x in pdf["__at"]]
-        y = pdf["__label"].to_numpy()
+        at, y = pdf["__at"].tolist(), pdf["__label"].to_numpy()
         seen = np.zeros((1 << bits) + 1, dtype=np.int32)
         for x in at:
             seen[x] += 1
-        at = [x[seen[x] >= min_docs] for x in at]
+        for i, x in enumerate(at):
+            at[i] = x[seen[x] >= min_docs]
         random = np.random.default_rng(5)
         for _ in range(passes):
             random.shuffle(order)
@@ -107,6 +109,7 @@ def train(
 
 def score_column(text, model: tuple, spark, bits: int = BITS):
     """Score of each text, 0 to 1; a text without known features has the score of the bias."""
+    text_batches()
     at, w, bias = model
     sent = spark.sparkContext.broadcast((at.astype(np.int32), w.astype(np.float32)))
     kept: dict = {}
