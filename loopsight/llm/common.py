@@ -1,6 +1,8 @@
 """Helpers shared by the operators of this subpackage."""
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 
@@ -62,6 +64,25 @@ def text_batches() -> None:
         spark.conf.set(name, str(TEXT_ROWS))
 
 
+def trimmed(function):
+    """function, after which the process gives back to the system what it doesn't use any more.
+
+    Python workers stay when a task has ended, and allocators keep what a large batch took.
+    """
+
+    @functools.wraps(function)
+    def called(*args):
+        out = function(*args)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        return out
+
+    return called
+
+
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, checkpointed, free, mixed, plain_words, text_batches, text_key, texts_of
+from loopsight.llm.common import U64, WordHashes, checkpointed, free, mixed, plain_words, text_batches, text_key, texts_of, trimmed
 
 #: Edits (in words) up to this share of an item's words are a match.
 EDITS = 0.2
@@ -257,6 +257,7 @@ def _searched(text, sent):
     text_batches()
 
     @F.arrow_udf(_MATCHES)
+    @trimmed
     def of(column: pa.Array) -> pa.Array:
         return pa.array(sent.value.search(map(plain_words, texts_of(column))), type=_FOUND)
 

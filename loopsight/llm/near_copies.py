@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, checkpointed, lower_words, mixed, run_hashes, text_batches, text_key, texts_of
+from loopsight.llm.common import U64, WordHashes, checkpointed, cores, lower_words, mixed, run_hashes, text_batches, text_key, texts_of, trimmed
 from loopsight.llm.components import connected_components
 from loopsight.llm.simhash import keep_first, link_fingerprints, majority_bits
 
@@ -25,6 +25,8 @@ _ASKED = 500_000
 _WORDS, _TEXTS = 100_000, 256
 #: Differing bits at which fingerprints link, and rounds of stars before all that is left of a key is compared.
 _RADIUS, _ROUNDS = 2, 2
+#: Sets of a key that are compared among themselves without another round.
+_FEW = 8
 #: Slack of float comparisons that rule a pair out before it is compared exactly.
 _SLACK = 1e-9
 
@@ -71,6 +73,7 @@ def _common(documents: DataFrame, text: str, shingle: int) -> tuple[np.ndarray,
     """Hashes of common shingles, sorted, and how many of the counted texts have each."""
 
     @F.arrow_udf("array<long>")
+    @trimmed
     def of(column: pa.Array) -> pa.Array:
         hashes = WordHashes(most=_WORDS)
         return pa.array([shingle_set(x, shingle, hashes).view(np.int64) for x in texts_of(column)], type=pa.list_(pa.int64()))
@@ -89,6 +92,7 @@ def _described(text, shingle: int, similarity: float, common: np.ndarray, counts
     kind = pa.struct([(c, pa.int64()) for c in names[:5]] + [("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     @F.arrow_udf("n long, s1 long, s2 long, rare long, fp long, bits binary, prefix array<long>")
+    @trimmed
     def of(column: pa.Array) -> pa.Array:
         hashes, out = WordHashes(most=_WORDS), []
         for at in range(0, len(column), _TEXTS):
@@ -116,6 +120,7 @@ def _most(n, x, m, y):
 
 def _similarity(a, b, shingle: int):
     @F.arrow_udf("double")
+    @trimmed
     def of(left: pa.Array, right: pa.Array) -> pa.Array:
         hashes, out = WordHashes(most=_WORDS), []
         for x, y in zip(texts_of(left), texts_of(right), strict=True):
@@ -128,41 +133,41 @@ def _similarity(a, b, shingle: int):
 
 
 def _entries(prints: DataFrame) -> DataFrame:
-    """(key, id, rare, n, at): the prefix of each set, each with its place in the order."""
-    return prints.select(F.posexplode("prefix").alias("at", "key"), "id", "rare", "n").select("key", "id", "rare", "n", "at")
+    """(key, id, n, at): the prefix of each set, each with its place in the order."""
+    return prints.select(F.posexplode("prefix").alias("at", "key"), "id", "n").select("key", "id", "n", "at")
 
 
-def _centred(entries: DataFrame) -> DataFrame:
-    """(key, id, rare, n, at, centre, nc): entries of keys that several sets share, with the key's set of fewest rare shingles.
+def _starred(entries: DataFrame) -> DataFrame:
+    """(key, id, n, at, centre, nc, sets): entries of keys that several sets share, with the smallest id's set as centre.
 
-    Copies of one text have what it holds in common and rare shingles where they were edited, so the
-    text that they were made from is the centre wherever it's there. The minimum is summed up before
-    it's shuffled; where a key is hot, the join back is one that Spark can split.
+    Copies of one text have what it holds in common and rare shingles where they were edited, and ids
+    grow with the number of rare shingles, so the text that they were made from is the centre wherever it's there.
     """
-    first = F.min(F.struct("rare", "id", "n")).alias("c")
-    centres = entries.groupBy("key").agg(first, F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    centres = centres.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("nc"))
-    return entries.join(centres, "key")
+    by_key = Window.partitionBy("key")
+    first = F.min(F.struct("id", "n")).over(by_key)
+    stars = entries.withColumns({"c": first, "sets": F.count(F.lit(1)).over(by_key)}).where("sets > 1")
+    return stars.select("key", "id", "n", "at", F.col("c.id").alias("centre"), F.col("c.n").alias("nc"), "sets")
 
 
 def _stars(prints: DataFrame) -> DataFrame:
-    """_centred entries; keys that a sample shows to be hot are dealt out before rows are gathered by key."""
+    """_starred entries; keys that a sample shows to be hot are summed up before rows are joined by key, a join that Spark can split."""
     entries = _entries(prints)
     some = _entries(prints.where(F.xxhash64("id") % _SAMPLE == 0))
     hot = checkpointed(some.groupBy("key").count().where(F.col("count") >= _HOT).select("key"))
-    few = hot.count() <= _SENT
-    keys = F.broadcast(hot) if few else hot
-    by_key = Window.partitionBy("key")
-    first = F.min(F.struct("rare", "id", "n")).over(by_key)
-    calm = entries.join(keys, "key", "left_anti") if not hot.isEmpty() else entries
-    stars = calm.withColumns({"c": first, "low": F.min("id").over(by_key), "high": F.max("id").over(by_key)}).where("low < high")
-    stars = stars.select("key", "id", "rare", "n", "at", F.col("c.id").alias("centre"), F.col("c.n").alias("nc"))
-    return stars if hot.isEmpty() else stars.unionByName(_centred(entries.join(keys, "key", "left_semi")))
+    n = hot.count()
+    if not n:
+        return _starred(entries)
+    keys = F.broadcast(hot) if n <= _SENT else hot
+    busy = entries.join(keys, "key", "left_semi")
+    centres = busy.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("sets"))
+    centres = centres.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("nc"), "sets")
+    met = busy.join(F.broadcast(centres) if n <= _SENT else centres, "key")
+    return _starred(entries.join(keys, "key", "left_anti")).unionByName(met)
 
 
 def _fingerprint_pairs(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids whose SimHashes differ in up to _RADIUS bits: a star for each fingerprint, and one pair for two of them."""
-    first = checkpointed(prints.groupBy("fp").agg(F.min(F.struct("rare", "id"))["id"].alias("first")))
+    first = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("first")))
     same = prints.select("fp", "id").join(first, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     links = link_fingerprints(first.select("fp"), _RADIUS)
     left, right = (first.select(F.col("fp").alias(c), F.col("first").alias(f"i{c}")) for c in ("a", "b"))
@@ -211,10 +216,11 @@ def near_copy_groups(documents: DataFrame, text: str = "text", doc_id: str = "do
     and parities rule out only pairs that can't reach it; all others are compared on the texts'
     shingles. So no link is lost and none is guessed.
 
-    Within a key all are compared with one centre (see _stars). The similarity's complement is a
+    Within a key all are compared with one centre (see _starred). The similarity's complement is a
     metric: a set near the centre and one further than twice the distance that links can't be
-    linked. So what isn't near goes on to a centre of its own, what is neither is compared with
-    those near the centre, and only what is left after _ROUNDS centres is compared among itself; of
+    linked. So what isn't near goes on to a centre of its own, what is neither near nor that far is
+    compared with those near the centre, and only _FEW sets, or what is left after _ROUNDS centres, are
+    compared among themselves; of
     all these only sets that links don't join yet. Nothing is capped, and a group of copies isn't
     expanded into pairs.
     """
@@ -224,41 +230,45 @@ def near_copy_groups(documents: DataFrame, text: str = "text", doc_id: str = "do
     about = _described(F.col(text), shingle, similarity, *_common(documents, text, shingle))
     rows = checkpointed(documents.select(F.col(doc_id).alias("doc_id"), *key, about.alias("x")).select("doc_id", "t1", "t2", "x.*"))
     prints = rows.groupBy("s1", "s2").agg(F.min(F.struct("t1", "t2", "n", "rare", "fp", "bits", "prefix")).alias("first"))
-    prints = checkpointed(prints.select("s1", "s2", "first.*", F.monotonically_increasing_id().alias("id")))
+    # ids grow with the number of rare shingles (see _starred)
+    ordered = prints.select("s1", "s2", "first.*").repartitionByRange(2 * cores(documents.sparkSession), "rare", "s1").sortWithinPartitions("rare", "s1", "s2")
+    prints = checkpointed(ordered.drop("rare").withColumn("id", F.monotonically_increasing_id()))
+
+    def sent(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= _ASKED else rows
 
     def compared(asked: DataFrame) -> DataFrame:
         """(a, b) of the pairs whose texts have the similarity."""
         ends = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = checkpointed(prints.join(ends, "id", "left_semi").select("id", "t1", "t2"))
-        few = F.broadcast(wanted) if wanted.count() <= _ASKED else wanted
-        texts = checkpointed(documents.select(*key, F.col(text).alias("text")).join(few, ["t1", "t2"]).groupBy("id").agg(F.min("text").alias("text")))
+        texts = checkpointed(documents.select(*key, F.col(text).alias("text")).join(sent(wanted), ["t1", "t2"]).groupBy("id").agg(F.min("text").alias("text")))
         shown = asked.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return checkpointed(shown.where(_similarity(F.col("ta"), F.col("tb"), shingle) >= similarity).select("a", "b"))
 
     far = 2 * similarity - 1  # below this a set can't be linked to one that is near the centre
     stars, links, cross = checkpointed(_stars(prints)), None, []
     for turn in range(_ROUNDS):
-        spokes = stars.where((F.col("id") != F.col("centre")) & _even(F.col("n"), F.col("nc"), far)).select(F.col("centre").alias("a"), F.col("id").alias("b"))
+        spokes = stars.where((F.col("id") != F.col("centre")) & _even(F.col("n"), F.col("nc"), far))
+        spokes = spokes.select(F.col("centre").alias("a"), F.col("id").alias("b"))
         close = checkpointed(_close(spokes if turn else spokes.unionByName(_fingerprint_pairs(prints)), prints, far))
         near = compared(close.where(F.col("most") >= similarity - _SLACK).select("a", "b"))
         links = near if links is None else links.unionByName(near)
-        a, b = F.least("id", "centre"), F.greatest("id", "centre")
-        kind = close.join(near.withColumn("linked", F.lit(2)), ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(1)).alias("kind"))
-        judged = stars.withColumns({"a": a, "b": b}).join(kind, ["a", "b"], "left").drop("a", "b")
-        judged = checkpointed(judged.withColumn("kind", F.when(F.col("id") == F.col("centre"), 3).otherwise(F.coalesce("kind", F.lit(0)))))
-        cross.append((judged.where("kind = 1"), judged.where("kind = 2")))
-        rest = judged.where("kind < 2").select("key", "id", "rare", "n", "at")
-        stars = checkpointed(_centred(rest))
-        if stars.isEmpty():
+        direct = sent(near.select(F.col("a").alias("centre"), F.col("b").alias("id")))
+        missed = close.join(near, ["a", "b"], "left_anti").select(F.col("a").alias("centre"), F.col("b").alias("id"))
+        cross.append((stars.join(sent(checkpointed(missed)), ["centre", "id"], "left_semi"), stars.join(direct, ["centre", "id"], "left_semi")))
+        rest = stars.where("id <> centre").join(direct, ["centre", "id"], "left_anti").select("key", "id", "n", "at")
+        stars = checkpointed(_starred(rest))
+        few = stars.where(F.col("sets") <= (_FEW if turn < _ROUNDS - 1 else 1 << 62))
+        cross.append((few, few))
+        stars = stars.where(F.col("sets") > _FEW)
+        if turn < _ROUNDS - 1 and stars.isEmpty():
             break
-    else:
-        cross.append((stars, stars))
     roots = checkpointed(connected_components(links))
     met = None
     for one, other in cross:
         left = one.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"))
         right = other.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("py"))
-        both = left.join(right, "key").where((F.col("x") < F.col("y")) if one is other else (F.col("x") != F.col("y")))
+        both = left.join(right, "key").where(F.col("x") < F.col("y") if one is other else F.col("x") != F.col("y"))
         both = both.where(_even(F.col("nx"), F.col("ny"), similarity) & _may_begin(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), similarity))
         both = both.select("x", "y").distinct()
         met = both if met is None else met.unionByName(both)

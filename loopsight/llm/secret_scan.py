@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import text_batches
+from loopsight.llm.common import text_batches, trimmed
 
 KINDS = ("assign", "access", "hex")
 #: Fixed values of the contract.
@@ -376,6 +376,7 @@ def redact_secrets(documents: DataFrame, text: str = "text", n_chars: str | None
     text_batches()
 
     @F.arrow_udf("string")
+    @trimmed
     def clean(column: pa.Array) -> pa.Array:
         return pa.array([redacted(x, scan_text(x)[1]) if x else x for x in column.to_pylist()], type=pa.string())
 

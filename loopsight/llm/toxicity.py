@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, mixed, plain_words, text_batches, texts_of
+from loopsight.llm.common import U64, WordHashes, mixed, plain_words, text_batches, texts_of, trimmed
 
 #: Hashed features; weights are 2 ** BITS values at most, which bounds what is broadcast.
 BITS = 20
@@ -75,6 +75,7 @@ def train(
     text_batches()
 
     @F.arrow_udf("array<int>")
+    @trimmed
     def hashed(column: pa.Array) -> pa.Array:
         hashes = WordHashes()
         found = [features(plain_words(x), hashes, bits).astype(np.int32) for x in texts_of(column)]
@@ -115,9 +116,10 @@ def score_column(text, model: tuple, spark, bits: int = BITS):
     kept: dict = {}
 
     @F.arrow_udf("double")
+    @trimmed
     def of(column: pa.Array) -> pa.Array:
         if not kept:
-            kept["hashes"] = WordHashes()
+            kept["hashes"] = WordHashes(most=100_000)
             kept["w"] = np.zeros(1 << bits, dtype=np.float32)
             kept["w"][sent.value[0]] = sent.value[1]
         hashes, dense, out = kept["hashes"], kept["w"], []
