@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loopsight.functions import boxes
 from loopsight.operators import assignment, checks, fragments, matching, sampling, surface, velocity
+from loopsight.plans import measures, projections, surface_maps
 from loopsight.sources import views as v
 from loopsight.sources.views import CTES
 from loopsight.streaming import frames
@@ -211,7 +212,7 @@ ORACLE_SQL = {
     SELECT track_id, fragment, min(frame_index) AS frame_start, max(frame_index) AS frame_end, count(*) AS n FROM g GROUP BY 1, 2""",
     "map_blend": CTES
     + "SELECT belt_row, x, round(CASE WHEN x % 3 > 0 THEN v * 0.75e0 + v * 2 * 0.25e0 ELSE v END, 6) AS v FROM belt_map",
-    "sample_indices": "SELECT DISTINCT CAST(floor(i * ((SELECT count(*) FROM orders) - 1) / 499.0e0) AS BIGINT) AS frame_index FROM range(500) t(i)",
+    "sample_indices": "SELECT DISTINCT CASE WHEN i = 499 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / 499.0e0)) AS BIGINT) END AS frame_index FROM range(500) t(i), (SELECT count(*) AS n FROM orders)",
     "round_robin_plan": CTES
     + """, r AS (
       SELECT frame_index, CAST(least(floor(predicted_phase_px / (14723e0 / 24)), 23) AS BIGINT) AS bucket, 1 - score AS cost FROM phases
@@ -228,3 +229,7 @@ ORACLE_SQL = {
     SELECT round(max(p), 6) AS cutoff, round(min(score), 6) AS threshold, CAST(sum(n) AS BIGINT) AS discoveries
     FROM r WHERE p <= 0.5e0 * rank / m""",
 }
+
+for _theme in (projections, surface_maps, measures):
+    QUERIES |= _theme.QUERIES
+    ORACLE_SQL |= _theme.ORACLE_SQL

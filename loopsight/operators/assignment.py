@@ -2,6 +2,7 @@
 
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,49 +10,116 @@ from pyspark.sql import functions as F
 from loopsight.operators.matching import iou_pairs
 
 
-def assign(pairs: Iterable[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """The most pairs (a, b, gain) without a shared end and, of those, the largest sum of gains.
+def _least_cost(cost: np.ndarray) -> list[int]:
+    """The column of each row (rows <= columns) at least total cost: shortest augmenting paths with potentials."""
+    n, m = cost.shape
+    kind = cost.dtype
+    zero = 0 if kind == object else 0.0
+    top = (int(np.abs(cost).max()) + 1) * (4 * (n + m)) if kind == object else np.inf
+    u, v = np.full(n + 1, zero, dtype=kind), np.full(m + 1, zero, dtype=kind)
+    match = np.zeros(m + 1, dtype=np.int64)  # row of each column, from 1; 0 is none
+    for row in range(1, n + 1):
+        match[0], at = row, 0
+        least, way = np.full(m + 1, top, dtype=kind), np.zeros(m + 1, dtype=np.int64)
+        used = np.zeros(m + 1, dtype=bool)
+        while match[at]:
+            used[at] = True
+            r = match[at]
+            free = np.flatnonzero(~used[1:]) + 1
+            now = cost[r - 1, free - 1] - u[r] - v[free]
+            better = now < least[free]
+            least[free[better]], way[free[better]] = now[better], at
+            nearest = int(free[np.argmin(least[free])])
+            step = least[nearest]
+            u[match[used]] += step
+            v[used] -= step
+            least[free] -= step
+            at = nearest
+        while at:
+            match[at], at = match[way[at]], way[at]
+    out = [0] * n
+    for column in range(1, m + 1):
+        if match[column]:
+            out[match[column] - 1] = column - 1
+    return out
 
-    Grown by augmenting paths of least cost, found by Bellman and Ford, so every number of pairs
-    on the way is met at its best sum.
+
+def _components(pairs: list[tuple]) -> list[list[tuple]]:
+    """Pairs by connected component of their graph."""
+    root: dict = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b, _ in pairs:
+        root[top(("l", a))] = top(("r", b))
+    found: dict = {}
+    for p in pairs:
+        found.setdefault(top(("l", p[0])), []).append(p)
+    return list(found.values())
+
+
+def _whole(gain) -> int | float:
+    """Tuples of gains, the first counting most, as whole numbers in steps of 2^-30; plain gains as they are."""
+    if not isinstance(gain, tuple):
+        return float(gain)
+    out = 0
+    for x in gain:
+        out = (out << 80) + round(x * (1 << 30))
+    return out
+
+
+def assign(pairs: Iterable[tuple]) -> list[tuple]:
+    """The most pairs (a, b, gain) without a shared end and, of those, the largest sum of gains, in order.
+
+    A gain may be a tuple: its first part counts most, then the second, and so on. Each connected
+    component is matched on its own.
     """
-    gain = {(a, b): float(g) for a, b, g in pairs}
-    lefts, rights = sorted({a for a, _ in gain}), sorted({b for _, b in gain})
-    if len(lefts) == len(rights) == len(gain):
-        return sorted((a, b, g) for (a, b), g in gain.items())
-    match: dict[int, int] = {}  # right -> left
-    while True:
-        used = set(match.values())
-        cost = {("l", a): (0.0 if a not in used else float("inf")) for a in lefts} | {("r", b): float("inf") for b in rights}
-        before: dict[tuple, tuple] = {}
-        for _ in range(len(cost)):
-            changed = False
-            for (a, b), g in gain.items():
-                ends = (("r", b), ("l", a), g) if match.get(b) == a else (("l", a), ("r", b), -g)
-                if cost[ends[0]] + ends[2] < cost[ends[1]] - 1e-12:
-                    cost[ends[1]], before[ends[1]], changed = cost[ends[0]] + ends[2], ends[0], True
-            if not changed:
-                break
-        free = [b for b in rights if b not in match and cost[("r", b)] < float("inf")]
-        if not free:
-            return sorted((a, b, gain[a, b]) for b, a in match.items())
-        at = ("r", min(free, key=lambda b: (cost[("r", b)], b)))
-        while at in before:
-            last = before[at]
-            if at[0] == "r":
-                match[at[1]] = last[1]
-            at = last
+    gain = {(a, b): g for a, b, g in pairs}
+    out = []
+    for some in _components([(a, b, g) for (a, b), g in gain.items()]):
+        if len(some) == 1:
+            out.append(some[0])
+            continue
+        lefts, rights = sorted({a for a, _, _ in some}), sorted({b for _, b, _ in some})
+        values = {(a, b): _whole(g) for a, b, g in some}
+        exact = any(isinstance(x, int) for x in values.values())
+        large = sum(abs(x) for x in values.values()) + 1  # no sum of gains makes up for a pair less
+        cost = np.full((len(lefts), len(rights)), large, dtype=object if exact else float)
+        row, column = ({x: i for i, x in enumerate(c)} for c in (lefts, rights))
+        for (a, b), x in values.items():
+            cost[row[a], column[b]] = -x
+        turned = len(lefts) > len(rights)
+        for i, j in enumerate(_least_cost(cost.T if turned else cost)):
+            a, b = (lefts[j], rights[i]) if turned else (lefts[i], rights[j])
+            if (a, b) in gain:
+                out.append((a, b, gain[a, b]))
+    return sorted(out)
 
 
-def optimal_matches(detections: DataFrame, truth: DataFrame, least: float = 0.25) -> DataFrame:
-    """frame_index, label, truth_id, iou of the best assignment of each frame; a frame's boxes are one small array."""
-    pairs = iou_pairs(detections, truth, least)
-    frames = pairs.groupBy("frame_index").agg(F.collect_list(F.struct("label", "truth_id", "iou")).alias("pairs"))
-    kind = pa.list_(pa.struct([("label", pa.int64()), ("truth_id", pa.int64()), ("iou", pa.float64())]))
+def optimal_pairs(pairs: DataFrame, a: str, b: str, gains: list, by: list[str]) -> DataFrame:
+    """Rows of pairs (a, b) chosen by assign within each group of `by`; a group's pairs are one array in one task."""
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
-    @F.arrow_udf("array<struct<label:long,truth_id:long,iou:double>>")
+    single = len(gains) == 1
+
+    @F.arrow_udf("array<struct<a: long, b: long>>")
     def best(column: pa.Array) -> pa.Array:
-        found = (assign(p.values() for p in row) for row in column.to_pylist())
-        return pa.array([[dict(zip(("label", "truth_id", "iou"), x, strict=True)) for x in row] for row in found], type=kind)
+        out = []
+        for row in column.to_pylist():
+            found = assign((x["a"], x["b"], x["g"][0] if single else tuple(x["g"])) for x in row)
+            out.append([{"a": x[0], "b": x[1]} for x in found])
+        return pa.array(out, type=kind)
+
+    one = F.struct(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), F.array(*[g.cast("double") for g in gains]).alias("g"))
+    chosen = pairs.groupBy(*by).agg(F.collect_list(one).alias("pairs")).select(*by, F.inline(best("pairs")))
+    return pairs.join(chosen.withColumnsRenamed({"a": a, "b": b}), [*by, a, b], "left_semi")
 
-    return frames.select("frame_index", F.inline(best("pairs")))
+
+def optimal_matches(detections: DataFrame, truth: DataFrame, least: float = 0.25) -> DataFrame:
+    """frame_index, label, truth_id, iou of the best assignment of each frame; a frame's boxes are one small array."""
+    pairs = iou_pairs(detections, truth, least).select("frame_index", "label", "truth_id", "iou")
+    return optimal_pairs(pairs, "label", "truth_id", [F.col("iou")], ["frame_index"])

@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 
 def sample_indices(spark: SparkSession, n: int, k: int) -> DataFrame:
-    """Up to k distinct indices spread evenly over 0 to n - 1, truncated."""
-    if n <= 0 or k <= 0:
+    """k distinct indices (1 to n of them) spread evenly over 0 to n - 1, truncated; the last is n - 1. None without frames."""
+    if n <= 0:
         return spark.range(0).withColumnRenamed("id", "frame_index")
+    k = max(1, min(n, k))
     step = (n - 1) / (k - 1) if k > 1 else 0.0
-    return spark.range(k).select(F.floor(F.col("id") * F.lit(step)).alias("frame_index")).distinct()
+    at = F.when(F.col("id") == k - 1, F.lit(n - 1 if k > 1 else 0).cast("long")).otherwise(F.floor(F.col("id") * F.lit(step)))
+    return spark.range(k).select(at.alias("frame_index")).distinct()
 
 
 def round_robin_plan(phases: DataFrame, period: float, buckets: int, n: int) -> DataFrame:
