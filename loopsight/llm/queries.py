@@ -58,7 +58,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", secret_spans(F.col("text")).alias("x"))
     return found.select(
         "doc_id", "x.n_assign", "x.n_access", "x.n_hex", F.sha2(F.col("x.base").cast("binary"), 256).alias("base_sha256"),
-        "x.spans",
+        "x.spans", "x.layers", "x.cut",
     )
 
 

@@ -7,12 +7,13 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import text_batches, trimmed
+from loopsight.llm.common import free, text_batches, trimmed
 
 KINDS = ("assign", "access", "hex")
 #: Fixed values of the contract.
@@ -35,10 +36,11 @@ _PACKED_BYTES, _PACKED_CHARS = re.compile(_PACKED.encode(), re.DOTALL), re.compi
 _WIDE = re.compile(r"[^\x00-\xff]")
 _BYTE_ESCAPES = re.compile(r"\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[nrt\\'\"]")
 
-#: A compressed layer is inflated up to so many bytes; one that goes on is scanned that far and counted as cut.
-INFLATE_BYTES = 64 << 20
-#: Layers within layers; only data that grow at every step without ever repeating come that far.
-DEPTH = 64
+#: Bytes of compressed data that are inflated and scanned at a time, and how many of them the next piece begins with again.
+PIECE, OVERLAP = 8 << 20, 256 << 10
+#: Compressed layers within compressed layers, and bytes inflated of one document. Escapes and base64 shrink with every layer and
+#: so end by themselves; only inflation grows. What goes on beyond is counted as cut, and its place is a span to redact.
+DEPTH, INFLATE_BYTES = 64, 4 << 30
 
 
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
@@ -129,7 +131,7 @@ def _unescaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     if not marks or not out:
         return None
     copied(len(layer.text))
-    return _Layer("".join(out), marks, layer.depth + 1)
+    return _Layer("".join(out), marks, layer.depth)
 
 
 def _latin(token: str) -> list[tuple[str, int]]:
@@ -152,41 +154,56 @@ def _unpacker(data: bytes):
     return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
 
 
-def _inflated(data: bytes) -> tuple[bytes, int, bool]:
-    """What data begin with if that's gzip, zlib, bzip2 or xz, how many bytes it takes, and whether it was cut.
-
-    Members that follow each other are one; of a damaged one, what comes before the damage.
+def _unpacked(unpack, data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """What one member holds, as it comes, and how far data has been read; ends at the member's end or at damage."""
+    whole = isinstance(unpack, bz2.BZ2Decompressor | lzma.LZMADecompressor)
+    rest = b""
+    try:
+        while not unpack.eof:
+            if not rest and (not whole or unpack.needs_input):
+                if at >= len(data):
+                    return
+                rest = data[at : at + 4096]
+                at += len(rest)
+            got = unpack.decompress(rest, 1 << 16)
+            rest = b"" if whole else unpack.unconsumed_tail
+            if unpack.eof:
+                at -= len(unpack.unused_data)
+            yield got, at
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        return
+
+
+def _inflated(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """What data begin with if that's gzip, zlib, bzip2 or xz, in pieces of up to PIECE bytes, and how many bytes have been read.
+
+    Members that follow each other are one; of a damaged one, what comes before the damage. A piece
+    begins with the last OVERLAP bytes of the one before.
     """
-    out, size, at = [], 0, 0
+    held, fresh, at = bytearray(), False, 0
     while at < len(data) and (unpack := _unpacker(data[at : at + 8])) is not None:
-        begin, left = at, INFLATE_BYTES - size
-        try:
-            while at < len(data) and not unpack.eof and left > 0:
-                piece = data[at : at + 4096]
-                at += len(piece)
-                if isinstance(unpack, bz2.BZ2Decompressor | lzma.LZMADecompressor):
-                    got = unpack.decompress(piece, left)
-                    while got or not unpack.needs_input and not unpack.eof:
-                        out.append(got)
-                        left -= len(got)
-                        if left <= 0 or unpack.eof or unpack.needs_input:
-                            break
-                        got = unpack.decompress(b"", left)
-                else:
-                    out.append(unpack.decompress(piece, left))
-                    left -= len(out[-1])
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-            size = INFLATE_BYTES - left
-            break
-        size = INFLATE_BYTES - left
-        if left <= 0 and not unpack.eof:
-            return b"".join(out), len(data), True
-        if not unpack.eof:
+        begin = at
+        for got, at in _unpacked(unpack, data, begin):
+            held += got
+            fresh = fresh or bool(got)
+            if len(held) >= PIECE:
+                yield bytes(held), at
+                del held[:-OVERLAP]
+                fresh = False
+        if not unpack.eof or at == begin:
             break
-        at -= len(unpack.unused_data)
-        if at == begin:
-            break
-    return b"".join(out), at, False
+    if fresh:
+        yield bytes(held), at
+
+
+def _raw_deflated(data: bytes) -> bytes | None:
+    """The text that data is if they are deflated without a header, to their very end; up to PIECE bytes."""
+    try:
+        unpack = zlib.decompressobj(-15)
+        out = unpack.decompress(data, PIECE)
+        return out if unpack.eof and not unpack.unused_data and len(out) >= 8 and out.decode("utf-8") else None
+    except (zlib.error, UnicodeDecodeError):
+        return None
 
 
 def _texts(data: bytes) -> str:
@@ -236,53 +253,63 @@ def _line_marks(data: bytes, text: str, lines: list[tuple[int, int, int]], skipp
     return marks
 
 
-def scan_text(text: str | None) -> tuple[list, list, int, int]:
-    """(base, all, layers, cut): base matches, all matches with decoded ones, layers read, layers cut short.
+def scan_text(text: str | None) -> tuple[list, list, int, list]:
+    """(base, all, layers, cut): base matches, all matches with decoded ones, layers read, spans of layers that weren't read to their end.
 
     Every layer that URL escapes, Unicode escapes, base64 (also over line breaks, and after other
-    characters of its alphabet) or compressed data (in base64 or escaped bytes) yield is scanned and unwrapped in turn. A layer already seen at the same place ends its branch, so cycles
-    end; the same content at another place is read again, as its matches have other spans.
+    characters of its alphabet) or compressed data (in base64 or escaped bytes) yield is scanned and
+    unwrapped in turn. A layer already seen at the same place ends its branch, so cycles end; the
+    same content at another place is read again, as its matches have other spans.
     """
     text = text or ""
     base = find_secrets(text)
     spans = set(base)
     if "%" not in text and "\\" not in text and not _BASE64.search(text) and not _WRAPPED.search(text):
-        return sorted(base, key=_order), sorted(spans, key=_order), 1, 0
-    work, cut = [_Layer(text, [(0, 0, len(text), 1)], 0)], 0
+        return sorted(base, key=_order), sorted(spans, key=_order), 1, []
+    work, cut, size = [_Layer(text, [(0, 0, len(text), 1)], 0)], set(), 0
     seen = {work[0].key()}
+
+    def inflated(data: bytes, first: int, last: int, depth: int, found: list) -> int:
+        """Adds the layers that data begin with; how many of its bytes they take, 0 if it isn't compressed."""
+        nonlocal size
+        used = 0
+        for out, used in _inflated(data):
+            size += len(out)
+            if size > INFLATE_BYTES or depth >= DEPTH:
+                cut.add((first, last))
+                break
+            found.append((out, first, last, depth + 1))
+        return used
+
     while work:
         layer = work.pop()
-        if layer.depth:
+        if len(layer.marks) > 1 or layer.marks[0][3] == 0:
             for start, end, kind in find_secrets(layer.text):
                 first, last, changed = layer.span(start, end)
                 if changed:
                     spans.add((first, last, kind))
-        if layer.depth >= DEPTH:
-            cut += 1
-            continue
         inner = []
         if "%" in layer.text:
             inner.append(_unescaped(layer, _PERCENT, _percent))
         if "\\" in layer.text:
             inner.append(_unescaped(layer, _UNICODE, _unicode))
-        packed: list[tuple[bytes, int, int]] = []  # bytes and where they come from
+        packed: list[tuple[bytes, int, int, int]] = []  # bytes, where they come from, compressed layers around them
         for sign, pattern, decode in (("%", _PERCENT, _latin), ("+", _FORM, _latin), ("\\", _BYTE_ESCAPES, _byte)):
             raw = _unescaped(layer, pattern, decode) if sign in layer.text and (sign != "+" or "%" in layer.text) else None
             for m in _PACKED_CHARS.finditer(raw.text) if raw else ():
                 rest = raw.text[m.start() :]
                 rest = rest[: stop.start()] if (stop := _WIDE.search(rest)) else rest
-                out, used, more = _inflated(rest.encode("latin-1"))
-                if out:
-                    cut += more
+                data = rest.encode("latin-1")
+                used = next((n for _, n in _inflated(data)), 0)
+                if used:
                     first, last, _ = raw.span(m.start(), m.start() + used)
-                    inner.append(_Layer(_texts(out), [(0, first, last, 0)], layer.depth + 1))
-                    packed.append((out, first, last))
+                    packed.append((data, first, last, layer.depth))
         for m in _BASE64.finditer(layer.text):
             for skip in range(4):  # a token may follow others of its characters
                 data = _decoded64(m[0][skip:])
                 first, last, _ = layer.span(m.start() + skip, m.end())
-                inner.append(_Layer(_texts(data), [(0, first, last, 0)], layer.depth + 1))
-                packed.append((data, first, last))
+                inner.append(_Layer(_texts(data), [(0, first, last, 0)], layer.depth))
+                packed.append((data, first, last, layer.depth))
         for m in _WRAPPED.finditer(layer.text):
             token, lines = _unfolded(m[0])
             if len(token) < 16:
@@ -291,31 +318,33 @@ def scan_text(text: str | None) -> tuple[list, list, int, int]:
             for skip in range(4):
                 data = _decoded64(token[skip:])
                 within = _texts(data)
-                inner.append(_Layer(within, _line_marks(data, within, lines, skip, span), layer.depth + 1))
-                packed.append((data, *span(0, len(m[0]))))
+                inner.append(_Layer(within, _line_marks(data, within, lines, skip, span), layer.depth))
+                packed.append((data, *span(0, len(m[0])), layer.depth))
         while packed:  # compressed layers may lie in each other
-            data, first, last = packed.pop()
-            starts = {m.start() for m in _PACKED_BYTES.finditer(data)} | {0}
-            key = hashlib.sha256(b"%d %d " % (first, last) + data).digest() if len(starts) > 1 or _unpacker(data[:8]) else None
-            if key is None or key in seen:
+            data, first, last, depth = packed.pop()
+            starts = {m.start() for m in _PACKED_BYTES.finditer(data)}
+            starts |= {0} if _unpacker(data[:8]) else set()
+            key = hashlib.sha256(b"%d %d " % (first, last) + data).digest()
+            if key in seen:
                 continue
-            seen.add(key)
+            found: list[tuple[bytes, int, int, int]] = []
             done = 0
             for start in sorted(starts):
                 if start >= done:
-                    out, used, more = _inflated(data[start:])
-                    if out:
-                        cut += more
-                        done = start + used
-                        inner.append(_Layer(_texts(out), [(0, first, last, 0)], layer.depth + 1))
-                        packed.append((out, first, last))
+                    done = max(done, start + inflated(data[start:], first, last, depth, found))
+            if not found and (out := _raw_deflated(data)):
+                found.append((out, first, last, depth + 1))
+            if found:
+                seen.add(key)
+            inner += [_Layer(_texts(x[0]), [(0, first, last, 0)], x[3]) for x in found]
+            packed += found
         for x in inner:
             if x is not None:
                 key = x.key()
                 if key not in seen:
                     seen.add(key)
                     work.append(x)
-    return sorted(base, key=_order), sorted(spans, key=_order), len(seen), cut
+    return sorted(base, key=_order), sorted(spans, key=_order), len(seen), sorted(cut)
 
 
 def _order(span: tuple[int, int, int]) -> tuple[int, int, int]:
@@ -326,6 +355,12 @@ def _joined(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
+def cleaned(text: str) -> str:
+    """text without its secrets and without what couldn't be read to its end."""
+    _, spans, _, cut = scan_text(text)
+    return redacted(text, sorted([*spans, *((a, b, -1) for a, b in cut)], key=_order))
+
+
 def redacted(text: str | None, spans: list, mark: str = "[SECRET]") -> str | None:
     """text with each run of overlapping spans replaced by mark."""
     if not spans:
@@ -345,9 +380,9 @@ _FOUND = pa.struct(
 
 
 def secret_spans(text):
-    """A struct column: counts of base matches by kind, base and all spans, layers read and layers cut short.
+    """A struct column: counts of base matches by kind, base and all spans, layers read, and spans of layers not read to their end.
 
-    Null and empty texts have no spans and one layer. Spans read kind:start:end, by start, then
+    Null and empty texts have no spans and one layer; equal texts have equal results. Spans read kind:start:end, by start, then
     kind; offsets are code points of the whole text. A match in a decoded layer is reported at the
     span of the whole text that it was decoded from.
     """
@@ -360,7 +395,7 @@ def secret_spans(text):
         for value in column.to_pylist():
             base, spans, layers, cut = scan_text(value)
             n = [sum(1 for x in base if x[2] == k) for k in range(3)]
-            row = (n[0], n[1], n[2], _joined(base), _joined(spans), layers, cut)
+            row = (n[0], n[1], n[2], _joined(base), _joined(spans), layers, len(cut))
             out.append(dict(zip(_FOUND.names, row, strict=True)))
         return pa.array(out, type=_FOUND)
 
@@ -370,7 +405,8 @@ def secret_spans(text):
 def redact_secrets(documents: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """documents with secrets in their texts replaced by [SECRET], and n_chars set to the new length.
 
-    Rows without secrets, null texts among them, stay as they are, and so do all other columns.
+    What holds a layer that wasn't read to its end is replaced too, as it may hold one. Rows without
+    either, null texts among them, stay as they are, and so do all other columns.
     """
 
     text_batches()
@@ -378,10 +414,11 @@ def redact_secrets(documents: DataFrame, text: str = "text", n_chars: str | None
     @F.arrow_udf("string")
     @trimmed
     def clean(column: pa.Array) -> pa.Array:
-        return pa.array([redacted(x, scan_text(x)[1]) if x else x for x in column.to_pylist()], type=pa.string())
+        return pa.array([cleaned(x) if x else x for x in column.to_pylist()], type=pa.string())
 
-    out = documents.withColumn("__clean", clean.asNondeterministic()(documents[text]))
-    changed = ~F.col("__clean").eqNullSafe(F.col(text))
+    (name,) = free(documents.columns, "clean")
+    out = documents.withColumn(name, clean.asNondeterministic()(documents[f"`{text}`"]))
+    changed = ~F.col(name).eqNullSafe(F.col(f"`{text}`"))
     if n_chars and n_chars in documents.columns:
-        out = out.withColumn(n_chars, F.when(changed, F.length("__clean").cast("long")).otherwise(F.col(n_chars)))
-    return out.withColumn(text, F.col("__clean")).drop("__clean")
+        out = out.withColumn(n_chars, F.when(changed, F.length(name).cast("long")).otherwise(F.col(f"`{n_chars}`")))
+    return out.withColumn(text, F.col(name)).drop(name)
