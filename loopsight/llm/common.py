@@ -3,6 +3,7 @@
 import atexit
 import ctypes
 import functools
+import gc
 import shutil
 import tempfile
 
@@ -36,6 +37,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a partition of a small stored table.
+COMPACT_ROWS = 100_000
+
+
+def compact(stored: DataFrame) -> DataFrame:
+    """A stored table of narrow rows in as many partitions as it needs; each costs files in every shuffle that reads it."""
+    return stored.coalesce(max(1, -(-stored.count() // COMPACT_ROWS)))
+
+
+def discard(spark: SparkSession) -> None:
+    """Has the driver collect garbage, upon which Spark removes shuffle and checkpoint files that nothing refers to any more.
+
+    It does so by itself every half an hour; a loop of many rounds would fill disks before.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores more as it takes to differ from all columns, whatever their case."""
     taken = {c.lower() for c in columns}

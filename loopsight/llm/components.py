@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import checkpointed
+from loopsight.llm.common import COMPACT_ROWS, checkpointed, discard
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -16,8 +16,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star steps; each round is written to the shared checkpoint
     folder. A node's links are never gathered: each step takes a minimum by node, which is
-    pre-aggregated, and joins it back, which Spark can split where a node is hot. Links with a
-    null end and loops are left out; an empty table gives an empty result.
+    pre-aggregated, and joins it back, which Spark can split where a node is hot. Few links are
+    worked on in few partitions. Links with a null end and loops are left out; an empty table gives
+    an empty result.
     """
     x, y = F.col(a), F.col(b)
     links = checkpointed(
@@ -25,14 +26,17 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     before = _signature(links)
     while before[0]:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        parts = -(-2 * before[0] // COMPACT_ROWS)
+        links = links.coalesce(parts)
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.coalesce(parts).distinct().coalesce(parts)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        links = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
         after = _signature(links)
+        discard(links.sparkSession)
         if after == before:
             break
         before = after

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, checkpointed, cores, lower_words, mixed, run_hashes, text_batches, text_key, texts_of, trimmed
+from loopsight.llm.common import U64, WordHashes, checkpointed, compact, cores, discard, lower_words, mixed, run_hashes, text_batches, text_key, texts_of, trimmed
 from loopsight.llm.components import connected_components
 from loopsight.llm.simhash import keep_first, link_fingerprints, majority_bits
 
@@ -153,7 +153,7 @@ def _stars(prints: DataFrame) -> DataFrame:
     """_starred entries; keys that a sample shows to be hot are summed up before rows are joined by key, a join that Spark can split."""
     entries = _entries(prints)
     some = _entries(prints.where(F.xxhash64("id") % _SAMPLE == 0))
-    hot = checkpointed(some.groupBy("key").count().where(F.col("count") >= _HOT).select("key"))
+    hot = compact(checkpointed(some.groupBy("key").count().where(F.col("count") >= _HOT).select("key")))
     n = hot.count()
     if not n:
         return _starred(entries)
@@ -237,33 +237,37 @@ def near_copy_groups(documents: DataFrame, text: str = "text", doc_id: str = "do
     def sent(rows: DataFrame) -> DataFrame:
         return F.broadcast(rows) if rows.count() <= _ASKED else rows
 
+    def kept(rows: DataFrame) -> DataFrame:
+        return compact(checkpointed(rows))
+
     def compared(asked: DataFrame) -> DataFrame:
         """(a, b) of the pairs whose texts have the similarity."""
         ends = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = checkpointed(prints.join(ends, "id", "left_semi").select("id", "t1", "t2"))
+        wanted = kept(prints.join(ends, "id", "left_semi").select("id", "t1", "t2"))
         texts = checkpointed(documents.select(*key, F.col(text).alias("text")).join(sent(wanted), ["t1", "t2"]).groupBy("id").agg(F.min("text").alias("text")))
         shown = asked.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return checkpointed(shown.where(_similarity(F.col("ta"), F.col("tb"), shingle) >= similarity).select("a", "b"))
+        return kept(shown.where(_similarity(F.col("ta"), F.col("tb"), shingle) >= similarity).select("a", "b"))
 
     far = 2 * similarity - 1  # below this a set can't be linked to one that is near the centre
     stars, links, cross = checkpointed(_stars(prints)), None, []
     for turn in range(_ROUNDS):
         spokes = stars.where((F.col("id") != F.col("centre")) & _even(F.col("n"), F.col("nc"), far))
         spokes = spokes.select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        close = checkpointed(_close(spokes if turn else spokes.unionByName(_fingerprint_pairs(prints)), prints, far))
+        close = kept(_close(spokes if turn else spokes.unionByName(_fingerprint_pairs(prints)), prints, far))
         near = compared(close.where(F.col("most") >= similarity - _SLACK).select("a", "b"))
         links = near if links is None else links.unionByName(near)
         direct = sent(near.select(F.col("a").alias("centre"), F.col("b").alias("id")))
         missed = close.join(near, ["a", "b"], "left_anti").select(F.col("a").alias("centre"), F.col("b").alias("id"))
-        cross.append((stars.join(sent(checkpointed(missed)), ["centre", "id"], "left_semi"), stars.join(direct, ["centre", "id"], "left_semi")))
+        cross.append((stars.join(sent(kept(missed)), ["centre", "id"], "left_semi"), stars.join(direct, ["centre", "id"], "left_semi")))
         rest = stars.where("id <> centre").join(direct, ["centre", "id"], "left_anti").select("key", "id", "n", "at")
         stars = checkpointed(_starred(rest))
+        discard(documents.sparkSession)
         few = stars.where(F.col("sets") <= (_FEW if turn < _ROUNDS - 1 else 1 << 62))
         cross.append((few, few))
         stars = stars.where(F.col("sets") > _FEW)
         if turn < _ROUNDS - 1 and stars.isEmpty():
             break
-    roots = checkpointed(connected_components(links))
+    roots = kept(connected_components(links))
     met = None
     for one, other in cross:
         left = one.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"))
@@ -273,7 +277,7 @@ def near_copy_groups(documents: DataFrame, text: str = "text", doc_id: str = "do
         both = both.select("x", "y").distinct()
         met = both if met is None else met.unionByName(both)
     met = _rooted(met, roots, "x", "y").where("rx <> ry").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    close = checkpointed(_close(met, prints, similarity).select("a", "b"))
+    close = kept(_close(met, prints, similarity).select("a", "b"))
     if not close.isEmpty():
         more = compared(close)
         if not more.isEmpty():

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, checkpointed, free, lower_words, text_batches, text_key, texts_of
+from loopsight.llm.common import U64, checkpointed, compact, free, lower_words, text_batches, text_key, texts_of
 from loopsight.llm.components import connected_components
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -86,7 +86,7 @@ def link_fingerprints(prints: DataFrame, radius: int = 2, crowded: int = 64) ->
     low = prints.select("fp", F.lit(1).alias("seg"), _low(fp).alias("key"), _high(fp).alias("rest"))
     entries = high.unionByName(low)
     full = entries.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n"))
-    hot = checkpointed(full.where(F.col("n") > crowded).select("seg", "key"))
+    hot = compact(checkpointed(full.where(F.col("n") > crowded).select("seg", "key")))
     calm = entries.join(hot, ["seg", "key"], "left_anti")
     bits = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)),
