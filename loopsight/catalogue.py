@@ -46,7 +46,9 @@ QUERIES = {
     "box_areas": lambda s, d: velocity.describe(
         v.detections(s, d).select(F.floor(boxes.area(boxes.sides("bbox_")) * 3 / 4).alias("area")), "area"
     ),
-    "confidence_trust": lambda s, d: _rounded(matching.confidence(v.detections(s, d), 5.0, v.HEIGHT, v.WIDTH)),
+    "confidence_trust": lambda s, d: _rounded(matching.confidence(
+        v.detections(s, d).withColumn("area_px", F.floor(boxes.area(boxes.sides("bbox_")) * 3 / 4)), 5.0, v.HEIGHT, v.WIDTH
+    )),
     "detections_per_frame": _per_frame,
     "missing_numbers": lambda s, d: checks.missing_numbers(v.phases(s, d)),
     "duplicate_hashes": lambda s, d: checks.duplicate_contents(v.table(s, d, "documents"), "doc_id", "text"),

@@ -5,20 +5,10 @@ from pyspark.sql import functions as F
 
 from loopsight.kernels.images import Gates
 from loopsight.operators import evaluation, frames as kernels, maps, tracking, velocity
+from loopsight.operators.ordered import stored
 from loopsight.sources import images
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """rows without their lineage, kept in the checkpoint folder if there is one, else in memory and on disk."""
-    context = rows.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            return rows.persist()
-        context.setCheckpointDir(named)
-    return rows.checkpoint()
-
-
 def _filled(samples: DataFrame, height: int, width: int, periodic: bool, aggregation: str, trim: float) -> DataFrame:
     cells = maps.mean_map(samples) if aggregation == "mean" else maps.robust_map(samples, trim, aggregation)
     return stored(maps.fill_gaps(cells, height, width, periodic))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loopsight.functions import boxes
 from loopsight.functions.cyclic import finite
 from loopsight.operators.assignment import optimal_matches
+from loopsight.operators.ordered import ranks, running
 
 
 def _one(*parts: DataFrame) -> DataFrame:
@@ -64,13 +65,10 @@ def roles(detections: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def monotone_points(points: DataFrame) -> DataFrame:
-    """fp_per_frame, recall: the best recall at each distinct rate of false detections or below; points missing either are left out.
-
-    Points are those of score thresholds, so few.
-    """
+    """fp_per_frame, recall: the best recall at each distinct rate of false detections or below; points missing either are left out."""
     known = points.select(finite(F.col("fp_per_frame")).alias("fp_per_frame"), finite(F.col("recall")).alias("recall")).dropna()
     best = known.groupBy("fp_per_frame").agg(F.greatest(F.max("recall"), F.lit(0.0)).alias("recall"))
-    return best.withColumn("recall", F.max("recall").over(Window.orderBy("fp_per_frame")))
+    return running(best, ["fp_per_frame"], tops={"best": F.col("recall")}).select("fp_per_frame", F.col("best").alias("recall"))
 
 
 def recall_at(points: DataFrame, most: float) -> DataFrame:
@@ -97,10 +95,10 @@ def thresholds(scores: DataFrame, most: int | None) -> DataFrame:
     unique = scores.select(finite(F.col("score").cast("double")).alias("threshold")).dropna().distinct()
     if not most or most <= 0:
         return unique
-    ranked = unique.withColumn("i", (F.row_number().over(Window.orderBy(F.desc("threshold"))) - 1).cast("long"))
     n = unique.count()
     if n <= most:
         return unique
+    ranked = ranks(unique, [F.desc("threshold")]).withColumnRenamed("rank", "i")
     if most == 1:
         return ranked.where("i = 0").select("threshold")
     head = max(1, most // 2)
@@ -225,18 +223,6 @@ def stress_scores(features: DataFrame, names: list[str], parts: int = 4) -> Data
     return out.withColumn("subset", F.coalesce(F.concat(F.lit("Q"), (F.col("q") + 1).cast("string")), F.lit("unscored"))).drop("q")
 
 
-def ranks(rows: DataFrame, order: list) -> DataFrame:
-    """rows with rank, from 0, in a global order: dealt into ranges, ranked within each, and moved by the ranges before.
-
-    No task gets more than its range.
-    """
-    dealt = rows.repartitionByRange(max(2, rows.sparkSession.sparkContext.defaultParallelism), *order).withColumn("part", F.spark_partition_id())
-    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # a row a partition
-    within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return dealt.withColumn("rank", within).join(F.broadcast(before), "part").withColumn("rank", (F.col("rank") + F.col("before")).cast("long")).drop("part", "before")
-
-
 def artifact_evidence(tracks: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Each track's recurrence evidence: means and maxima of overlap and probability, and how often the larger reaches the threshold.
 

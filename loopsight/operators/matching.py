@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopsight.functions import boxes
+from loopsight.functions import boxes, scores
+from loopsight.operators.ordered import running
 
 
 def iou_pairs(detections: DataFrame, truth: DataFrame, least: float = 0.25) -> DataFrame:
@@ -25,6 +26,7 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
 
 
 def precision_recall(detections: DataFrame, truth: DataFrame, least: float = 0.25) -> DataFrame:
+    """Counts and scores by mutual best pairs, which SQL can say; evaluation.detection_metrics matches for the most pairs."""
     tp = mutual_best(iou_pairs(detections, truth, least)).agg(F.count(F.lit(1)).alias("tp"))
     nd = detections.agg(F.count(F.lit(1)).alias("nd"))
     nt = truth.agg(F.count(F.lit(1)).alias("nt"))
@@ -45,13 +47,12 @@ def froc_curve(detections: DataFrame, truth: DataFrame, frames: int, step: float
     cells = scored.groupBy(F.floor(F.col("peak_signal") / step).alias("cell")).agg(
         F.count("hit").alias("hits"), F.count(F.lit(1)).alias("n")
     )
-    down = Window.orderBy(F.desc("cell"))
     total = truth.agg(F.count(F.lit(1)).alias("nt"))
-    out = cells.withColumn("tp", F.sum("hits").over(down)).withColumn("fp", F.sum(F.col("n") - F.col("hits")).over(down))
+    out = running(cells, [F.desc("cell")], {"tp": F.col("hits"), "fp": F.col("n") - F.col("hits")})
     out = out.join(total).withColumn("recall", F.col("tp") / F.col("nt"))
     out = out.withColumn("fp_per_frame", F.col("fp") / F.lit(frames))
-    envelope = F.max("recall").over(Window.orderBy("fp_per_frame", "recall"))
-    return out.select((F.col("cell") * step).alias("threshold"), "tp", "fp", "recall", "fp_per_frame", envelope.alias("envelope"))
+    out = running(out, ["fp_per_frame", "recall", "cell"], tops={"envelope": F.col("recall")})
+    return out.select((F.col("cell") * step).alias("threshold"), "tp", "fp", "recall", "fp_per_frame", "envelope")
 
 
 def greedy_matches(pairs: list[tuple[float, int, int]]) -> int:
@@ -115,15 +116,15 @@ def froc_rematched(detections: DataFrame, truth: DataFrame, frames: int, least:
     sought = truth.groupBy("frame_index").agg(F.collect_list(F.struct("truth_id", box("t_"))).alias("sought"))
     each = found.join(sought, "frame_index", "left").select(F.explode(steps(F.col("found"), F.col("sought"))).alias("s"))
     by_score = each.groupBy("s.score").agg(F.sum("s.tp").alias("tp"), F.sum("s.n").alias("n"))
-    down = Window.orderBy(F.desc_nulls_first("score"))
-    out = by_score.select("score", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("kept"))
+    out = running(by_score, [F.desc_nulls_first("score")], {"all": F.col("tp"), "kept": F.col("n")}).select("score", F.col("all").alias("tp"), "kept")
     empty = detections.sparkSession.createDataFrame([(None, 0, 0)], "score double, tp long, kept long")
     out = out.where("score IS NOT NULL").unionByName(empty)
     out = out.join(truth.agg(F.count(F.lit(1)).alias("nt"))).withColumn("fp", F.col("kept") - F.col("tp"))
     out = out.withColumn("recall", F.when(F.col("nt") > 0, F.col("tp") / F.col("nt")))
     out = out.withColumn("fp_per_frame", F.col("fp") / F.lit(frames))
-    envelope = F.max("recall").over(Window.orderBy("fp_per_frame"))
-    return out.select(F.col("score").alias("threshold"), "tp", "fp", "recall", "fp_per_frame", envelope.alias("envelope"))
+    out = running(out, ["fp_per_frame", F.desc_nulls_first("score")], tops={"best": F.col("recall")})
+    equal = F.max("best").over(Window.partitionBy("fp_per_frame"))
+    return out.select(F.col("score").alias("threshold"), "tp", "fp", "recall", "fp_per_frame", equal.alias("envelope"))
 
 
 def audit_boxes(detections: DataFrame, height: int, width: int, margin: int = 0, min_extent: int = 4, max_aspect: float = 4.0) -> DataFrame:
@@ -139,10 +140,8 @@ def audit_boxes(detections: DataFrame, height: int, width: int, margin: int = 0,
 
 
 def confidence(detections: DataFrame, threshold: float, height: int, width: int) -> DataFrame:
-    """Logistic signal margin, weighted by area, artifact overlap and truncation."""
+    """Logistic signal margin, weighted by area_px, artifact overlap and truncation; measures that detections lack are unknown."""
     top, left, bottom, right = boxes.sides("bbox_")
-    area = F.floor(boxes.area((top, left, bottom, right)) * 3 / 4)
     cut = (top <= 0) | (left <= 0) | (bottom >= height) | (right >= width)
-    margin = (F.col("peak_signal") - threshold) / threshold
-    value = 1 / (1 + F.exp(-margin)) * (0.5 + 0.5 * F.least(F.lit(1.0), area / 20)) * (1 - F.col("overlap"))
-    return detections.select("frame_index", "label", (value * F.when(cut, 0.75).otherwise(1.0)).alias("confidence"))
+    peak, mean, area, overlap = (F.col(c) if c in detections.columns else F.lit(None).cast("double") for c in ("peak_signal", "mean_signal", "area_px", "overlap"))
+    return detections.select("frame_index", "label", scores.trust_confidence(peak, mean, area, overlap, cut, threshold).alias("confidence"))

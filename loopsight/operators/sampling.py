@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loopsight.operators.ordered import running
+
 
 def sample_indices(spark: SparkSession, n: int, k: int) -> DataFrame:
     """k distinct indices (1 to n of them) spread evenly over 0 to n - 1, truncated; the last is n - 1. None without frames."""
@@ -38,8 +40,7 @@ def empirical_p_values(scores: DataFrame, background: DataFrame) -> DataFrame:
     other = background.groupBy("score").agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("b"))
     both = own.unionByName(other).groupBy("score").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     total = background.agg(F.count(F.lit(1)).alias("total"))
-    above = F.sum("b").over(Window.orderBy(F.desc("score")))
-    out = both.withColumn("above", above).join(total).where("n > 0")
+    out = running(both, [F.desc("score")], {"above": F.col("b")}).join(total).where("n > 0")
     return out.select("score", "n", ((F.col("above") + 1) / (F.col("total") + 1)).alias("p"))
 
 
@@ -47,6 +48,6 @@ def fdr_threshold(p_values: DataFrame, rate: float) -> DataFrame:
     """Benjamini and Hochberg's step-up: the largest p within rate * rank / all, and the smallest score at or below it."""
     total = p_values.agg(F.sum("n").alias("m"))
     by_p = p_values.groupBy("p").agg(F.sum("n").alias("n"), F.min("score").alias("score"))
-    ranked = by_p.withColumn("rank", F.sum("n").over(Window.orderBy("p"))).join(total)
+    ranked = running(by_p, ["p"], {"rank": F.col("n")}).join(total)
     passing = ranked.where(F.col("p") <= F.lit(rate) * F.col("rank") / F.col("m"))
     return passing.agg(F.max("p").alias("cutoff"), F.min("score").alias("threshold"), F.sum("n").alias("discoveries"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopsight.operators.evaluation import ranks
+from loopsight.operators.ordered import ranks
 
 
 def natural_key(name: Column) -> Column:
@@ -49,7 +49,7 @@ def images_by_stem(spark: SparkSession, folder: str, pattern: str = r"(\d+)") ->
     return files
 
 
-def _gray() :
+def _gray():
     @F.arrow_udf("array<double>")
     def of(height: pa.Array, width: pa.Array, channels: pa.Array, data: pa.Array) -> pa.Array:
         out = []
