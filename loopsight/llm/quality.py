@@ -75,6 +75,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def _logit(p):
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
     return F.log(p / (1 - p))
 
 
@@ -103,9 +104,9 @@ def quality_posterior(
     FEATURES, fitted on up to max_rows labelled rows (those with the smallest hash of their id).
     host and path are columns; a path belongs to its host. The mean evidence of a host is shrunk
     towards the mean of all documents, that of a path towards its host's posterior, each as far as
-    the spread between groups beyond chance allows, so sparse sites stay near their prior. score
-    puts the path's posterior odds in the place of the global odds under the document's evidence;
-    keep is score >= 0.5.
+    the spread between groups beyond chance allows, so sparse sites stay near their prior. A
+    document's own evidence has no part in its posteriors; score puts its path's posterior odds in
+    the place of the global odds under that evidence; keep is score >= 0.5.
 
     Null hosts and paths are groups of their own; null and empty texts have features of zero;
     repeated rows count and are returned each; labels that are null are left out, of several of
@@ -136,14 +137,17 @@ def quality_posterior(
     hosts = paths.groupBy("__site").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     total = hosts.agg(F.sum("s"), F.sum("n")).first()
     mean = float(np.clip(total[0] / total[1], 1e-6, 1 - 1e-6)) if total[1] else 0.5
-    strength = _strength(hosts.withColumn("c", F.lit(mean)), "s", "n", "c")
-    shrunk = (F.lit(strength * mean) + F.col("s")) / (strength + F.col("n"))
-    hosts = hosts.select("__site", shrunk.alias("host_posterior"))
+    above = _strength(hosts.withColumn("c", F.lit(mean)), "s", "n", "c")
+    hosts = hosts.select("__site", F.col("s").alias("__hs"), F.col("n").alias("__hn"))
     paths = paths.join(hosts, "__site")
-    strength = _strength(paths, "s", "n", "host_posterior")
-    shrunk = (strength * F.col("host_posterior") + F.col("s")) / (strength + F.col("n"))
-    paths = paths.select("__site", "__part", "host_posterior", shrunk.alias("path_posterior"))
+    shrunk = (F.lit(above * mean) + F.col("__hs")) / (above + F.col("__hn"))
+    within = _strength(paths.withColumn("c", shrunk), "s", "n", "c")
     out = rows.join(paths, ["__site", "__part"])
+    own = F.col("evidence")
+    shrunk = (F.lit(above * mean) + F.col("__hs") - own) / (above + F.col("__hn") - 1)
+    out = out.withColumn("host_posterior", shrunk)
+    shrunk = (within * F.col("host_posterior") + F.col("s") - own) / (within + F.col("n") - 1)
+    out = out.withColumn("path_posterior", shrunk)
     prior = float(np.log(mean / (1 - mean)))
     score = 1 / (1 + F.exp(-(_logit(F.col("evidence")) + _logit(F.col("path_posterior")) - prior)))
     out = out.select("doc_id", "evidence", "host_posterior", "path_posterior", score.alias("score"))

@@ -17,9 +17,9 @@ from loopsight.llm.toxicity import held_out, score_column, train, training_label
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by quality; the source is the host, the language within it the path."""
+    """Documents by quality; the source is the host, the language within it the path. A fifth of the labels is held out."""
     docs = table(spark, sf_dir, "documents")
-    return quality_posterior(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return quality_posterior(docs, training_labels(table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
