@@ -3,15 +3,16 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, mixed, plain_words, text_batches, texts_of, trimmed
+from loopsight.llm.common import U64, WordHashes, checkpointed, mixed, plain_words, text_batches, texts_of, trimmed
 
 #: Hashed features; weights are 2 ** BITS values at most, which bounds what is broadcast.
 BITS = 20
-#: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
-MAX_ROWS = 12_000
+#: Labelled rows that the model is fitted on, at most, and features that they have together, at most: those with the smallest
+#: hash of their id.
+MAX_ROWS, MAX_FEATURES = 12_000, 40_000_000
 
 
 def _raw(h: np.ndarray) -> tuple:
@@ -52,13 +53,13 @@ class Ftrl:
 
 def train(
     documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
-    bits: int = BITS, max_rows: int = MAX_ROWS, passes: int = 6, l1: float = 12.0, alpha: float = 3.0, min_docs: int = 2,
+    bits: int = BITS, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, passes: int = 6, l1: float = 12.0, alpha: float = 3.0, min_docs: int = 2,
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature numbers, their weights, bias) from up to max_rows labelled documents.
 
     labels holds doc_id and a label of 0 or 1; null ids or labels are left out; of several labels
     of one id the largest counts, and of several texts of one id the smallest. Without labelled
-    rows there are no weights and the bias is 0. The sample is bounded, so one task can fit it;
+    rows there are no weights and the bias is 0. The sample is bounded in rows and features, so one task can fit it;
     it gets hashed features, not texts. Features of fewer than min_docs sampled documents have no
     weight. A feature counts once for each document, however often it stands there.
 
@@ -101,7 +102,10 @@ def train(
         kept = kept[kept != model.bias]
         return pd.DataFrame({"at": np.append(kept, -1).astype(np.int64), "w": np.append(w[kept], w[model.bias])})
 
-    one = rows.select("__id", "__label", hashed("__text").alias("__at")).withColumn("__all", F.lit(0))
+    one = checkpointed(rows.select("__id", "__label", hashed("__text").alias("__at")).withColumn("__all", F.lit(0)))
+    sizes = one.select("__id", F.size("__at").cast("long").alias("n"), F.xxhash64(F.lit(11), "__id").alias("h"))  # max_rows at most
+    upto = F.sum("n").over(Window.orderBy("h", "__id").rowsBetween(Window.unboundedPreceding, 0))
+    one = one.join(F.broadcast(sizes.withColumn("upto", upto).where(F.col("upto") <= max_features).select("__id")), "__id")
     fitted = one.groupBy("__all").applyInPandas(fit, "at long, w double").toPandas()  # 2 ** bits + 1 rows at most
     bias = float(fitted.loc[fitted["at"] < 0, "w"].sum())
     fitted = fitted[fitted["at"] >= 0]
@@ -109,7 +113,10 @@ def train(
 
 
 def score_column(text, model: tuple, spark, bits: int = BITS):
-    """Score of each text, 0 to 1; a text without known features has the score of the bias."""
+    """Score of each text, 0 to 1; null and empty texts, and others without known features, have the score of the bias.
+
+    Equal texts have equal scores, whatever their length, order or number.
+    """
     text_batches()
     at, w, bias = model
     sent = spark.sparkContext.broadcast((at.astype(np.int32), w.astype(np.float32)))
@@ -140,7 +147,8 @@ def score_column(text, model: tuple, spark, bits: int = BITS):
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a document is held out for tests; one without an id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def training_labels(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
