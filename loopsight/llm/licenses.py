@@ -58,10 +58,45 @@ TEMPLATES = {
         promote products derived from this software without specific prior written permission. """
         + _BSD_DISCLAIMER
     ],
-    "apache-2": ["licensed under the Apache License, Version 2 [[0]]"],
+    "0bsd": [
+        """Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is hereby
+        granted. The software is provided "as is" and {{8}} {{disclaim|disclaims}} all warranties with regard to this software
+        including all implied warranties of merchantability and fitness. In no event shall {{8}} be liable for any special,
+        direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits,
+        whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use
+        or performance of this software.""",
+    ],
+    "zlib": [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will {{8}} be held liable for
+        any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+        purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: [[1.]] The origin of this software must not be misrepresented; you must not claim that you wrote the
+        original software. If you use this software in a product, an acknowledgment in the product documentation would be
+        appreciated but is not required. [[2.]] Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. [[3.]] This notice may not be removed or altered from any source
+        distribution.""",
+    ],
+    "bsl-1": [
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
+        and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+        Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire
+        statement, including the above license grant, this restriction and the following disclaimer, must be included in all
+        copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or
+        derivative works are solely in the form of machine-executable object code generated by a source language processor.""",
+    ],
+    "wtfpl": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"],
+    "apache-2": [
+        "licensed under the Apache License, Version 2 [[0]]",
+        """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+    ],
     "gpl-2": ["GNU General Public License [[as published by the Free Software Foundation either]] version 2"],
     "gpl-3": ["GNU General Public License [[as published by the Free Software Foundation either]] version 3"],
+    "agpl-3": ["GNU Affero General Public License [[as published by the Free Software Foundation either]] version 3"],
     "lgpl": ["GNU {{lesser|library}} General Public License [[as published by the Free Software Foundation]]"],
+    "epl-2": ["made available under the terms of the Eclipse Public License [[v]] 2 0"],
     "mpl-2": ["subject to the terms of the Mozilla Public License, {{v|version}} 2 0"],
     "cc-by-nc": [
         "licensed under [[a]] [[the]] CC BY NC [[4 0]]",
@@ -69,7 +104,12 @@ TEMPLATES = {
     ],
     "cc-by": ["licensed under [[a]] [[the]] CC BY 4 0", "Creative Commons Attribution 4 0 [[international]]"],
     "cc0": ["CC0 1 0 [[universal]]", "Creative Commons Zero"],
-    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "cc-by-sa": ["licensed under [[a]] [[the]] CC BY SA [[4 0]]", "Creative Commons Attribution ShareAlike [[{{2}} international]]"],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain",
+        """Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+        as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    ],
     "reserved": ["all rights reserved"],
 }
 
@@ -220,7 +260,8 @@ def license_scan(text):
     largest start; null without any); base_labels: their labels; labels: those and the labels of
     templates whose mandatory wording stands in the text, optional and replaceable regions aside;
     score: the share of the text's words that phrases or accepted templates cover; spans: their
-    word spans. Null and empty texts have no words, no labels and score 0.
+    word spans. Null and empty texts have no words, no labels and score 0; a license that stands
+    twice has its label once and both its spans; equal texts have equal results.
     """
 
     text_batches()
