@@ -19,10 +19,12 @@ import corpus_pipeline
 from loopsight.llm import queries, secret_scan
 from loopsight.llm.components import connected_components
 from loopsight.llm.decontaminate import ItemIndex, allowed_edits, benchmark_matches, best_alignment
+from loopsight.llm.language_model import score_documents
 from loopsight.llm.licenses import TEMPLATES, Template, scan_licenses
 from loopsight.llm.common import WordHashes, plain_words
 from loopsight.llm.mixing import fit_lengths
 from loopsight.llm.near_copies import near_copy_groups
+from loopsight.llm.ngram_tables import score_by_tables
 from loopsight.llm.quality import quality_posterior
 from loopsight.llm.secret_scan import cleaned, redact_secrets, redacted, scan_text
 from loopsight.llm.simhash import link_fingerprints
@@ -222,6 +224,16 @@ def test_topk_of_wide_vectors_is_exact_and_saturates(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_scores_by_tables_are_the_same(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None, None, None, None), (-2, " ", "en", "x", 1)], docs.schema))
+    one = {r["doc_id"]: r for r in score_documents(docs).collect()}
+    other = {r["doc_id"]: r for r in score_by_tables(docs.withColumn("row", F.lit(1))).collect()}
+    assert one.keys() == other.keys()
+    for k, r in one.items():
+        assert r["n_words"] == other[k]["n_words"] and r["log_score"] == pytest.approx(other[k]["log_score"])
+
+
 def test_license_query(spark, documents):
     phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
     got = {r["doc_id"]: r for r in queries.op4_licenses(spark, TINY).collect()}
