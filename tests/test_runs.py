@@ -34,7 +34,7 @@ def test_cases_are_measured(spark, name):
 
 def test_map_alone_gives_false_detections_only_where_it_is_marked(spark):
     surface = np.random.default_rng(1).normal(size=(60, 32))
-    phases = spark.createDataFrame([(f, float(-2 * f % 60)) for f in range(20)], "frame_index long, phase double")
+    phases = spark.createDataFrame([(f, float(-2 * f % 60)) for f in range(40)], "frame_index long, phase double")
     assert runs.map_only_control(surface, phases, 24, 2.0, 9.0, 5.0, 5).first()["false_detections"] == 0
     surface[20:24, 10:14] += 60
     row = runs.map_only_control(surface, phases, 24, 2.0, 9.0, 5.0, 5).first()
@@ -91,3 +91,33 @@ def test_reports(tmp_path):
     assert reports.png(np.arange(6.0).reshape(2, 3)).startswith(b"\x89PNG") and "&lt;b&gt;" in reports.page("<b>", [{"a": 1}, {"b": None}])
     assert "- x: n/a" in reports.markdown("t", {"s": {"x": float("nan")}}) and "threshold = 12.0" in reports.profile("dense")
     assert reports.grid_values("a.b=1, 2.5,x,true") == ("a.b", [1, 2.5, "x", True]) and "HOME" not in reports.provenance(("LOOP",))["environment"]
+
+
+def test_bundles(spark, tmp_path):
+    from loopsight.sources import bundles, tables
+
+    case = synthetic.case("baseline", 24, 48, 64, 80)
+    frames = frames_of(spark, case)
+    out = build.run(frames, 2.0, 48, 64, 80, threshold=6.0, gates=Gates(min_area=8), gate=5.0, build={"mask_passes": 1}, registration={"radius": 1.0, "highpass": 6}, noise={"radius": 8})
+    truth = spark.createDataFrame([(f, i, t, left, b, r) for i, (f, t, left, b, r, _) in enumerate(case["boxes"])], "frame_index long, truth_id long, t_top long, t_left long, t_bottom long, t_right long")
+    true = spark.createDataFrame(list(enumerate(case["phases"])), "frame_index long, true_phase_px double")
+    d = str(tmp_path)
+    got = bundles.benchmark_report(d, out, truth, frames, case["particle_velocity"], true, 80.0)
+    assert got["detections"]["f1"] > 0.8 and got["phases"]["mae"] <= 0.5 and json.loads((tmp_path / "benchmark.json").read_text()) == got
+    assert bundles.validation_report(d, out)["tracks"]["tracks"] >= 1 and len(bundles.evaluation_report(d, {"a": out, "b": out})) == 2
+    assert bundles.comparison_report(d, {"a": out}, truth, frames)["a"]["recall_ci_low"] > 0.5
+    per_frame = out["detections"].groupBy("frame_index").agg(F.count(F.lit(1)).alias("n_detections"))
+    assert bundles.audit_report(d, out["phases"], per_frame, out["detections"], out["velocities"])["contract"]["rows"]
+    marked = out["detections"].withColumn("rejected", F.col("label") > 1)
+    assert bundles.trust_report(d, out["phases"], per_frame, out["tracks"], marked, out["velocities"], 2.0, 1.0)["events"]["n"] >= 1
+    assert bundles.stress_report(d, out["detections"], out["phases"], ["loss", "score"])["subsets"]["rows"]
+    assert bundles.uncertainty_maps(d, out["phases"], "predicted_phase_px", 80, 48).count() == 80
+    assert bundles.map_samples(out["phases"], "predicted_phase_px", 80, 5) == [0, 5, 11, 17, 23] and len(bundles.map_samples(out["phases"], "predicted_phase_px", 80, 2, True, 48)) == 2
+    rows = tables.read_csv(spark, f"{d}/map_uncertainty")
+    assert rows.count() == 80 and bundles.boxes_by_frame(out["detections"]).count() <= 24
+    table = spark.createDataFrame([("a", "0.5", "x"), ("b", "0.7", "2")], ["Label", "labeled_f1", "n_tracks"])
+    evidence = bundles.evidence_rows(table)
+    none = evidence.limit(0).select("variant", *[F.lit(0.0).alias(c) for c in ("fp_per_frame", "map_only_false_detections", "map_only_false_long_tracks", "map_only_false_accepted_tracks", "small_accepted_tracks", "masked_pixel_fraction", "recurrent_artifact_fraction_from_map")])
+    assert [r["n_tracks"] for r in evidence.orderBy("variant").collect()] == [None, 2.0] and bundles.objective_report(d, evidence, none)["winner"]["rows"] == []
+    assert bundles.flat_measures({"a": {"f1": 1}, "b": {"f1": 2, "n": 3}}) == {"f1": 1, "n": 3} and bundles.select_file(["a.zip", "b.txt"], pattern="*.zip") == "a.zip"
+    assert bundles.smoothed_sequence(frames.withColumn("phase", F.pmod(F.col("frame_index") * -2.0, F.lit(80.0))), case["surface"], "phase", 80.0, 2.0, {"radius": 1.0, "highpass": 6}).count() == 24
