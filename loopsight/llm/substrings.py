@@ -156,7 +156,7 @@ def repeated_phrases(
     )
     known = checkpointed(known)
     size = known.agg(F.sum(F.size("anchors") * 8 + 96)).first()[0] or 0
-    known = F.broadcast(known) if size <= BROADCAST_BYTES else known.hint("shuffle_hash")
+    known = F.broadcast(known) if size <= BROADCAST_BYTES else known
     keyed = documents.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("text")).alias("d")
     same = F.expr("d.t1 = k.t1 and d.t2 = k.t2 and d.doc_id <=> k.chosen")
     texts = keyed.join(known.alias("k"), same).select("d.t1", "d.t2", "copies", "anchors", "text")
