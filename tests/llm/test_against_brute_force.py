@@ -276,6 +276,33 @@ def test_templates_hold_whole_wordings():
         assert scan_licenses(f"subject to the terms of the Mozilla Public License, {v}".encode())["labels"] == "mpl-2"
 
 
+def test_labels_are_those_of_regular_expressions(documents):
+    def expression(markup):
+        out = r"(?<!\S)"
+        for part in re.findall(r"\[\[|\]\]|\{\{[^}]*\}\}|(?:(?!\[\[|\]\]|\{\{).)+", markup, re.DOTALL):
+            if part in ("[[", "]]"):
+                out += "(?:" if part == "[[" else ")?"
+            elif part.startswith("{{"):
+                inner = part[2:-2].strip()
+                words = plain_words(inner.replace("|", " ").encode())
+                out += rf"(?:\S+ ){{0,{inner}}}" if inner.isdigit() else "(?:" + "|".join(re.escape(w.decode()) for w in words) + ") "
+            else:
+                out += "".join(re.escape(w.decode()) + " " for w in plain_words(part.encode()))
+        return re.compile(out)
+
+    compiled = [(label, expression(x)) for label, all_ in TEMPLATES.items() for x in all_]
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    whole = [re.sub(r"\[\[|\]\]", " ", re.sub(r"\{\{(?:(\d+)|([^}|]*)[^}]*)\}\}", lambda m: m[2] or "some body", x)) for all_ in TEMPLATES.values() for x in all_]
+    texts = [*(r["text"] or "" for r in documents), *whole, *(f"before {x} between {y} after" for x, y in zip(whole, whole[5:], strict=False))]
+    found = 0
+    for text in texts:
+        plain = " ".join(w.decode() for w in plain_words(text.encode())) + " "
+        want = {label for label, e in compiled if e.search(plain)} | {label for p, label in phrases.items() if f" {p} " in f" {plain}"}
+        assert set(filter(None, scan_licenses(text.encode())["labels"].split(","))) == want
+        found += bool(want)
+    assert found > 50
+
+
 def test_secrets(spark, documents):
     pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     got = {r["doc_id"]: r for r in queries.op8_secrets(spark, TINY).collect()}
