@@ -2,6 +2,7 @@
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -9,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopsight.llm.common import U64, WordHashes, checkpointed, run_hashes, text_batches, text_key, texts_of
+from loopsight.llm.common import U64, WordHashes, checkpointed, cores, run_hashes, text_batches, text_key, texts_of
 
 #: Words of a window, and of the grams that windows are found by.
 WINDOW, GRAM = 35, 12
-#: Words of the phrases in one automaton, about; a text with more is streamed through several.
-SHARD_WORDS = 300_000
+#: Anchors of the texts of one shard, about, and grams of one automaton; a shard with more is streamed through several.
+SHARD_ANCHORS, AUTOMATON_GRAMS = 100_000, 50_000
 #: What is known of candidate texts is broadcast up to so many bytes, and shuffled beyond.
 BROADCAST_BYTES = 48 << 20
+#: Bits of a place that number the words of a text; the others number the texts.
+WORD_BITS = 26
 
 _GRAM_BASE, _ONE, _TWO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
@@ -70,53 +73,67 @@ def _candidates(text: bytes, anchors: np.ndarray, window: int, gram: int, hashes
     return words, h, np.flatnonzero(np.isin(least, anchors.view(U64)))
 
 
-def phrase_starts(starts: np.ndarray, window: int) -> list[int]:
-    """Some of the starts, whose windows cover all words that the windows of all starts cover."""
-    out: list[int] = []
-    if not len(starts):
-        return out
-    breaks = np.flatnonzero(np.diff(starts) > 1)
-    for first, last in zip(starts[np.r_[0, breaks + 1]].tolist(), starts[np.r_[breaks, len(starts) - 1]].tolist(), strict=True):
-        out += range(first, last, window)
-        out.append(last)
-    return out
+def cut_phrases(words: list[bytes], h: np.ndarray, starts: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, int, bytes]]:
+    """(anchor, place of its gram, words) of the passages that consecutive windows with the same anchor's gram make up."""
+    grams, least = window_anchors(h, window, gram)
+    span = window - gram + 1
+    at = np.array([s + int(np.argmin(grams[s : s + span])) for s in starts.tolist()], dtype=np.int64)
+    breaks = np.flatnonzero((np.diff(starts) != 1) | (np.diff(at) != 0)) + 1
+    for first, last in zip(np.r_[0, breaks].tolist(), np.r_[breaks, len(starts)].tolist(), strict=True):
+        begin, end = int(starts[first]), int(starts[last - 1]) + window
+        yield int(least[begin : begin + 1].view(np.int64)[0]), int(at[first]) - begin, b" ".join(words[begin:end])
 
 
-class _Shard:
-    """Texts with confirmed phrases, searched together with automata over all their phrases."""
+class Shard:
+    """Automata over the anchors' grams of phrases; texts are streamed past them, and phrases grown from each place where one is found."""
 
-    def __init__(self, window: int):
-        self.window = window
+    def __init__(self, window: int, gram: int):
+        self.window, self.gram = window, gram
         self.numbers: dict[bytes, int] = {}
-        self.texts: list[tuple] = []
-        self.phrases: dict[tuple, int] = {}
-
-    def add(self, key: tuple, words: list[bytes], starts: list[int]) -> None:
-        of = self.numbers
-        numbers = tuple(of.setdefault(w, len(of) + 1) for w in words)
-        self.texts.append((key, words, numbers))
-        for s in starts:
-            self.phrases.setdefault(numbers[s : s + self.window], len(self.phrases))
-
-    @property
-    def full(self) -> bool:
-        return len(self.phrases) * self.window >= SHARD_WORDS
-
-    def located(self) -> Iterator[tuple]:
-        """(key, words, mask of removed words) of each text: every word of every place of a phrase."""
-        masks = [np.zeros(len(words) + 1, dtype=np.int64) for _, words, _ in self.texts]
-        phrases, size = list(self.phrases), max(1, SHARD_WORDS // self.window) * 2
-        for at in range(0, len(phrases), size):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            for i, phrase in enumerate(phrases[at : at + size]):
-                automaton.add_word(phrase, i + 1)
+        self.phrases: dict[tuple, list[tuple[int, list[bytes]]]] = {}
+        self.automata: list[ahocorasick.Automaton] = []
+
+    def add(self, offset: int, phrase: bytes) -> None:
+        words, of = phrase.split(), self.numbers
+        key = tuple(of.setdefault(w, len(of) + 1) for w in words[offset : offset + self.gram])
+        self.phrases.setdefault(key, []).append((offset, words))
+
+    def compile(self) -> None:
+        keys = list(self.phrases)
+        for at in range(0, len(keys), AUTOMATON_GRAMS):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for key in keys[at : at + AUTOMATON_GRAMS]:
+                automaton.add_word(key, self.phrases[key])
             automaton.make_automaton()
-            for mask, (_, _, numbers) in zip(masks, self.texts, strict=True):
-                for end, _ in automaton.iter(numbers):
-                    mask[end + 1 - self.window] += 1
-                    mask[end + 1] -= 1
-        for mask, (key, words, _) in zip(masks, self.texts, strict=True):
-            yield key, words, np.cumsum(mask[:-1]) > 0
+            self.automata.append(automaton)
+
+    def located(self, words: list[bytes]) -> np.ndarray:
+        """Whether each word lies in a window of a phrase.
+
+        A phrase's windows are all confirmed, so any `window` of its words or more that stand around its gram are.
+        """
+        mask, gram = np.zeros(len(words) + 1, dtype=np.int64), self.gram
+        numbers = tuple(map(self.numbers.get, words, repeat(0)))
+        for automaton in self.automata:
+            for end, found in automaton.iter(numbers):
+                at = end + 1 - gram
+                for offset, phrase in found:
+                    low, high = at - offset, at - offset + len(phrase)
+                    if low < 0 or words[low:high] != phrase:
+                        left = 0
+                        while left < offset and left < at and words[at - left - 1] == phrase[offset - left - 1]:
+                            left += 1
+                        low, high = at - left, end + 1
+                        rest = phrase[offset + gram :]
+                        for a, b in zip(rest, words[high : high + len(rest)], strict=False):
+                            if a != b:
+                                break
+                            high += 1
+                        if high - low < self.window:
+                            continue
+                    mask[low] += 1
+                    mask[high] -= 1
+        return np.cumsum(mask[:-1]) > 0
 
 
 def repeated_phrases(
@@ -133,13 +150,14 @@ def repeated_phrases(
 
     1. Each window's anchor is the smallest hash among its grams, the same wherever the window
        stands; anchors that stand once in the corpus can't lie in a recurring window.
-    2. Windows with a recurring anchor are counted by a 128-bit hash. Those counted once are sent
-       back to their text; the others are confirmed, and their passages cut into phrases.
-    3. Texts with confirmed phrases are streamed through Aho-Corasick automata over whole words,
-       compiled from the phrases of a shard of texts, which locate every place of a phrase.
+    2. Windows with a recurring anchor are counted by a 128-bit hash. Of each that stands more than
+       once, one place in the corpus is kept; what these places make up, cut by anchor, are the phrases.
+    3. Texts are dealt into shards, and each phrase goes to the shards that have its anchor. There
+       automata over the anchors' grams are compiled, all texts are streamed past them, and what is
+       found is grown to the phrase's words on both sides. No place is known before it's found.
 
     Exact copies of a text are worked on once. Counts are pre-aggregated, so a passage that many
-    documents share is one row for each task.
+    documents share is one row for each task, and one phrase for each shard.
     """
     text_batches()
     rows = documents.select(
@@ -162,17 +180,27 @@ def repeated_phrases(
     texts = keyed.join(known.alias("k"), same).select("d.t1", "d.t2", "copies", "anchors", "text")
     texts = checkpointed(texts)
 
+    sizes = sorted(map(tuple, texts.groupBy(F.spark_partition_id()).count().collect()))  # a row for each partition
+    before, n = {}, 0
+    for part, count in sizes:
+        before[part], n = n, n + count
+    if not n:
+        return _results(rows, documents.sparkSession.createDataFrame([], _REMOVED))
+    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.spark_partition_id()]
+    number = offset.cast("long") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    texts = texts.withColumn("number", number)
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        names = ["t1", "t2", "copies", "start", "w1", "w2"]
+        names = ["place", "copies", "w1", "w2"]
         for batch in batches:
-            t1, t2, copies, anchors = (batch.column(c).to_pylist() for c in ("t1", "t2", "copies", "anchors"))
+            numbers, copies, anchors = (batch.column(c).to_pylist() for c in ("number", "copies", "anchors"))
             parts, n = [], 0
             for i, x in enumerate(texts_of(batch.column("text"))):
                 _, h, starts = _candidates(x, np.array(anchors[i], dtype=np.int64), window, gram, hashes)
                 w1, w2 = (run_hashes(h, window, b)[starts].view(np.int64) for b in (_ONE, _TWO))
-                key = (np.full(len(starts), v, dtype=np.int64) for v in (t1[i], t2[i], copies[i]))
-                parts.append((*key, starts.astype(np.int32), w1, w2))
+                place = (np.int64(numbers[i]) << WORD_BITS) + starts.astype(np.int64)
+                parts.append((place, np.full(len(starts), copies[i], dtype=np.int64), w1, w2))
                 n += len(starts)
                 if n > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
@@ -180,45 +208,71 @@ def repeated_phrases(
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
 
-    counted = texts.mapInArrow(windows, "t1 long, t2 long, copies long, start int, w1 long, w2 long")
-    counted = counted.groupBy("w1", "w2").agg(
-        F.sum("copies").alias("n"), F.max("t1").alias("t1"), F.max("t2").alias("t2"), F.max("start").alias("start")
-    )
-    alone = counted.where("n = 1").groupBy("t1", "t2").agg(F.collect_list("start").alias("alone"))
-    judged = texts.join(alone, ["t1", "t2"], "left").select("t1", "t2", "anchors", "alone", "text")
+    counted = texts.select("number", "copies", "anchors", "text").mapInArrow(windows, "place long, copies long, w1 long, w2 long")
+    counted = counted.groupBy("w1", "w2").agg(F.sum("copies").alias("n"), F.max("place").alias("place")).where("n > 1")
+    kept = counted.select(F.shiftright("place", WORD_BITS).alias("number"), F.col("place").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("start"))
+    kept = checkpointed(kept.groupBy("number").agg(F.array_sort(F.collect_list("start")).alias("starts")))
+    size = kept.agg(F.sum(F.size("starts") * 8 + 32)).first()[0] or 0
+    chosen = texts.select("number", "text").join(F.broadcast(kept) if size <= BROADCAST_BYTES else kept, "number").select("starts", "text")
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            out: list[tuple] = []
+            for starts, x in zip(batch.column("starts").to_pylist(), texts_of(batch.column("text")), strict=True):
+                words = x.split()
+                out += cut_phrases(words, hashes.of(words), np.array(starts, dtype=np.int64), window, gram)
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.binary())
+                columns = [pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "gram_at", "words"])
+
+    pieces = chosen.mapInArrow(phrases, "anchor long, gram_at int, words binary")
+    total = texts.agg(F.sum(F.size("anchors").cast("long"))).first()[0]
+    shards = max(2 * cores(documents.sparkSession), -(-total // SHARD_ANCHORS))
+    dealt = texts.withColumn("shard", F.pmod("t1", F.lit(shards)))
+    asked = dealt.select("shard", F.explode("anchors").alias("anchor")).distinct()
+    sent = asked.join(pieces, "anchor").select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("t1"), F.lit(None).cast("long").alias("t2"), "gram_at", "words")
+    both = sent.unionByName(dealt.select("shard", F.lit(1).alias("kind"), "t1", "t2", F.lit(None).cast("int").alias("gram_at"), F.col("text").cast("binary").alias("words")))
+    both = both.repartition("shard").sortWithinPartitions("shard", "kind")
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, shard = WordHashes(), _Shard(window)
+        """Rows of a shard: first its phrases, then its texts."""
+        shard, number, ready = Shard(window, gram), None, False
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-        def results() -> pa.RecordBatch:
-            out: list[list] = [[], [], [], [], []]
-            for key, words, gone in shard.located():
-                edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])).reshape(-1, 2).tolist()
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                row = (*key, int(gone.sum()), kept_digest(kept), [{"start": s, "end": e} for s, e in edges])
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), kind]
-            names = ["t1", "t2", "n_removed", "kept", "spans"]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds, strict=True)], names)
-
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), kind]
+        names = ["t1", "t2", "n_removed", "kept", "spans"]
         for batch in batches:
-            t1, t2, anchors, alone = (batch.column(c).to_pylist() for c in ("t1", "t2", "anchors", "alone"))
-            for i, x in enumerate(texts_of(batch.column("text"))):
-                words, _, starts = _candidates(x, np.array(anchors[i], dtype=np.int64), window, gram, hashes)
-                starts = np.setdiff1d(starts, np.array(alone[i] or [], dtype=np.int64))
-                if len(starts):
-                    shard.add((t1[i], t2[i]), words, phrase_starts(starts, window))
-                if shard.full:
-                    yield results()
-                    shard = _Shard(window)
-        if shard.texts:
-            yield results()
-
-    removed = judged.mapInArrow(
-        located, "t1 long, t2 long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
-    )
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("shard", "kind", "t1", "t2", "gram_at", "words")]
+            for own, is_text, t1, t2, at, x in zip(*columns, strict=True):
+                if own != number:
+                    shard, number, ready = Shard(window, gram), own, False
+                if not is_text:
+                    shard.add(at, x)
+                    continue
+                if not ready:
+                    shard.compile()
+                    ready = True
+                if not shard.automata:
+                    continue
+                words = x.split()
+                gone = shard.located(words)
+                if gone.any():
+                    edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])).reshape(-1, 2).tolist()
+                    left = kept_digest([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+                    out.append((t1, t2, int(gone.sum()), left, [{"start": s, "end": e} for s, e in edges]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return _results(rows, both.mapInArrow(located, _REMOVED))
+
+
+_REMOVED = "t1 long, t2 long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
+
+
+def _results(rows: DataFrame, removed: DataFrame) -> DataFrame:
+    """What is removed of each row; rows of texts that lose nothing keep all words."""
     removed = removed.dropDuplicates(["t1", "t2"])  # a text is there twice if its row is
     out = rows.select("doc_id", "t1", "t2", "n_words", "digest").join(removed, ["t1", "t2"], "left")
     return out.select(
