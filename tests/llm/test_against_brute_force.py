@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loopsight.llm import queries, secret_scan
+from loopsight.llm import queries, secret_scan, substrings
 from loopsight.llm.components import connected_components
 from loopsight.llm.decontaminate import ItemIndex, allowed_edits, benchmark_matches, best_alignment
 from loopsight.llm.language_model import score_documents
@@ -234,6 +234,26 @@ def test_scores_by_tables_are_the_same(spark):
         assert r["n_words"] == other[k]["n_words"] and r["log_score"] == pytest.approx(other[k]["log_score"])
 
 
+def test_automata_find_passages_cut_from_another_text():
+    random = np.random.default_rng(11)
+    draw = lambda n: [b"w%d" % x for x in random.integers(0, 300, size=n)]
+    passage, hashes = draw(120), WordHashes()
+    one = [*draw(30), *passage, *draw(20)]
+    texts = [[*draw(10), *passage[20:64], *draw(8), *passage[70:120], *draw(3)], [*passage[:34], *draw(40)], [*passage, *passage], draw(90), passage[5:40]]
+    shard = substrings.Shard(35, 12)
+    for _, at, words in substrings.cut_phrases(one, hashes.of(one), np.arange(30, 30 + 120 - 34), 35, 12):
+        shard.add(at, words)
+    assert not shard.located(texts[0]).any()  # without automata nothing is found
+    shard.compile()
+    known = {tuple(passage[i : i + 35]) for i in range(120 - 34)}
+    for words in texts:
+        want = np.zeros(len(words), dtype=bool)
+        for s in range(len(words) - 34):
+            if tuple(words[s : s + 35]) in known:
+                want[s : s + 35] = True
+        assert (shard.located(words) == want).all()
+
+
 def test_license_query(spark, documents):
     phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
     got = {r["doc_id"]: r for r in queries.op4_licenses(spark, TINY).collect()}
