@@ -36,12 +36,14 @@ def test_sparse_and_hot_hosts(spark):
             s, n = groups.get(key, (0.0, 0))
             groups[key] = (s + got[i]["evidence"], n + 1)
     mean = sum(s for s, _ in hosts.values()) / len(rows)
-    k = strength([(*g, mean) for g in hosts.values()])
-    hosts = {h: (k * mean + s) / (k + n) for h, (s, n) in hosts.items()}
-    k = strength([(*g, hosts[key[0]]) for key, g in paths.items()])
-    paths = {key: (k * hosts[key[0]] + s) / (k + n) for key, (s, n) in paths.items()}
+    a = strength([(*g, mean) for g in hosts.values()])
+    whole = {h: (a * mean + s) / (a + n) for h, (s, n) in hosts.items()}
+    b = strength([(*g, whole[key[0]]) for key, g in paths.items()])
     for i, (host, path) in sites.items():
-        e, p = got[i]["evidence"], paths[host, path]
-        odds = e / (1 - e) * p / (1 - p) * (1 - mean) / mean
-        want = (hosts[host], p, odds / (1 + odds))
+        e, (hs, hn), (ps, pn) = got[i]["evidence"], hosts[host], paths[host, path]
+        h = (a * mean + hs - e) / (a + hn - 1)  # a document's own evidence is left out
+        p = (b * h + ps - e) / (b + pn - 1)
+        x = np.clip(e, 1e-6, 1 - 1e-6)
+        odds = x / (1 - x) * p / (1 - p) * (1 - mean) / mean
+        want = (h, p, odds / (1 + odds))
         assert np.allclose([got[i][c] for c in ("host_posterior", "path_posterior", "score")], want, rtol=1e-6)
