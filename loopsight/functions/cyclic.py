@@ -47,10 +47,15 @@ def visible(row: Column, phase: Column, frame_height: float, height: float) -> C
 
 
 def circular_mean(values: Column, period: float, least: float = 1e-12) -> Column:
-    """An aggregate: the direction of the mean unit vector as a coordinate; null where it has none."""
-    turn = F.lit(2 * math.pi / period)
-    x, y = F.avg(F.cos(values * turn)), F.avg(F.sin(values * turn))
-    return F.when(F.hypot(x, y) > least, F.pmod(F.atan2(y, x), F.lit(2 * math.pi)) / turn)
+    """An aggregate: the direction of the mean unit vector as a coordinate; null where it has none.
+
+    Where the mean lies on the seam, the last bits of the sums say whether it's 0 or just short of the
+    period, so each step is in the order of the SQL.
+    """
+    whole = F.lit(2 * math.pi)
+    angle = values * F.lit(2) * F.lit(math.pi) / F.lit(float(period))
+    x, y = F.avg(F.cos(angle)), F.avg(F.sin(angle))
+    return F.when(F.sqrt(x * x + y * y) > least, (F.atan2(y, x) + whole) % whole * F.lit(float(period)) / whole)
 
 
 def revolution_of(frame: Column, first: Column, velocity: float, period: float) -> Column:

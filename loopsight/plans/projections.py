@@ -32,7 +32,9 @@ def phase_unwrapped(s, d):
 
 
 def phase_circular_means(s, d):
-    return rounded(v.phases(s, d).groupBy("revolution").agg(cyclic.circular_mean(F.col("predicted_phase_px"), v.PERIOD).alias("mean_phase")), 4)
+    """Added up in the order of frames: the last bits of a sum say on which side of the seam a mean is, and files may be split anywhere."""
+    ordered = v.phases(s, d).repartition("revolution").sortWithinPartitions("revolution", "frame_index")
+    return rounded(ordered.groupBy("revolution").agg(cyclic.circular_mean(F.col("predicted_phase_px"), v.PERIOD).alias("mean_phase")), 4)
 
 
 def box_projections(s, d):
