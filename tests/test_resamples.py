@@ -1,7 +1,9 @@
+from statistics import median
+
 import pytest
 from pyspark.sql import functions as F
 
-from loopsight.operators.evaluation import bootstrap, resamples
+from loopsight.operators.evaluation import bootstrap, bootstrap_outcomes, resamples
 
 
 @pytest.mark.parametrize("n, block", [(1, 1), (7, 1), (7, 3), (7, 7), (7, 20), (2500, 1700)])
@@ -23,3 +25,22 @@ def test_draws_are_never_broadcast(spark, capsys):
     assert "Broadcast" not in plan[plan.index("SortMergeJoin") : plan.index(" Range (0, 400")]
     row = out.first()
     assert row["mean_ci_low"] <= row["mean_bootstrap_median"] <= row["mean_ci_high"] and row["largest_ci_high"] <= 24.5
+
+
+def test_outcomes_are_resampled_without_broadcast_draws(spark, capsys):
+    outcomes = spark.range(60).selectExpr("id as frame_index", "id % 4 as tp", "id % 3 as fp", "id % 5 as fn")
+    out = bootstrap_outcomes(outcomes, 30, 3, 4)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("SortMergeJoin") == 1 and " Range (0, 450" in plan
+    assert "Broadcast" not in plan[plan.index("SortMergeJoin") : plan.index(" Range (0, 450")]
+    rows = [r[1:] for r in sorted(map(tuple, outcomes.collect()))]
+    drawn = spark.range(30).crossJoin(spark.range(15).withColumnRenamed("id", "b"))
+    drawn = drawn.select("id", F.pmod(F.xxhash64(F.lit(3), "id", "b"), F.lit(60))).collect()
+    recalls = []
+    for sample in range(30):
+        taken = [rows[(start + o) % 60] for k, start in drawn if k == sample for o in range(4)]
+        tp, _, fn = map(sum, zip(*taken, strict=True))
+        recalls.append(tp / (tp + fn))
+    assert out.first()["recall_bootstrap_median"] == pytest.approx(median(recalls))
+    assert bootstrap_outcomes(outcomes.limit(0), 30).first()["f1_ci_low"] is None
