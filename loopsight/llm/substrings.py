@@ -2,11 +2,12 @@
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ from loopsight.llm.common import U64, WordHashes, checkpointed, cores, run_hashe
 #: Words of a window, and of the grams that windows are found by.
 WINDOW, GRAM = 35, 12
 #: Anchors of the texts of one shard, about, and grams of one automaton; a shard with more is streamed through several.
-SHARD_ANCHORS, AUTOMATON_GRAMS = 100_000, 50_000
+SHARD_ANCHORS, AUTOMATON_GRAMS = 100_000, 100_000
+#: Letters that words stand as in automata, and phrases that share a gram from which on they are a crowd.
+LETTERS, CROWD = 64, 8
 #: What is known of candidate texts is broadcast up to so many bytes, and shuffled beyond.
 BROADCAST_BYTES = 48 << 20
 #: Bits of a place that number the words of a text; the others number the texts.
@@ -65,6 +68,21 @@ def _anchors_column(text, window: int, gram: int):
     return of.asNondeterministic()(text)
 
 
+def _packed(text):
+    """Texts as they're stored and shuffled; Spark stores checkpoints as they are."""
+
+    @F.arrow_udf("binary")
+    def of(column: pa.Array) -> pa.Array:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        return pa.array([None if x is None else compress(x) for x in texts_of(column)], type=pa.binary())
+
+    return of(text)
+
+
+def _unpacked(column: pa.Array) -> Iterator[bytes]:
+    return map(zstandard.ZstdDecompressor().decompress, column.to_pylist())
+
+
 def _candidates(text: bytes, anchors: np.ndarray, window: int, gram: int, hashes: WordHashes):
     """(words, word hashes, starts of windows whose anchor recurs)."""
     words = text.split()
@@ -84,42 +102,93 @@ def cut_phrases(words: list[bytes], h: np.ndarray, starts: np.ndarray, window: i
         yield int(least[begin : begin + 1].view(np.int64)[0]), int(at[first]) - begin, b" ".join(words[begin:end])
 
 
+class Letters(dict):
+    """One of LETTERS characters for each word, by its hash; remembers up to `most` words.
+
+    Automata over them have few branches at a node, which are searched one by one; words that share a
+    character are told apart where a phrase is compared.
+    """
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> str:
+        letter = chr(LETTERS + xxhash.xxh64_intdigest(word, LETTERS) % LETTERS)
+        if len(self) < self.most:
+            self[word] = letter
+        return letter
+
+    def of(self, words: list[bytes]) -> str:
+        return "".join(map(self.__getitem__, words))
+
+
 class Shard:
     """Automata over the anchors' grams of phrases; texts are streamed past them, and phrases grown from each place where one is found."""
 
-    def __init__(self, window: int, gram: int):
+    def __init__(self, window: int, gram: int, hashes: WordHashes | None = None, letters: Letters | None = None):
         self.window, self.gram = window, gram
-        self.numbers: dict[bytes, int] = {}
-        self.phrases: dict[tuple, list[tuple[int, list[bytes]]]] = {}
+        self.hashes, self.letters = WordHashes() if hashes is None else hashes, Letters() if letters is None else letters
+        self.phrases: dict[str, list[tuple[int, list[bytes]]]] = {}
         self.automata: list[ahocorasick.Automaton] = []
+        self.crowd = np.zeros((2, 0), dtype=U64)
 
     def add(self, offset: int, phrase: bytes) -> None:
-        words, of = phrase.split(), self.numbers
-        key = tuple(of.setdefault(w, len(of) + 1) for w in words[offset : offset + self.gram])
-        self.phrases.setdefault(key, []).append((offset, words))
+        words = phrase.split()
+        self.phrases.setdefault(self.letters.of(words[offset : offset + self.gram]), []).append((offset, words))
+
+    def _windows(self, words: list[bytes]) -> np.ndarray:
+        """The 128-bit hash of each window, in two rows."""
+        h = self.hashes.of(words)
+        return np.stack([run_hashes(h, self.window, b) for b in (_ONE, _TWO)])
 
     def compile(self) -> None:
-        keys = list(self.phrases)
+        keys, crowd = list(self.phrases), []
         for at in range(0, len(keys), AUTOMATON_GRAMS):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
             for key in keys[at : at + AUTOMATON_GRAMS]:
-                automaton.add_word(key, self.phrases[key])
+                found = self.phrases.pop(key)
+                if len(found) > CROWD:
+                    crowd += [self._windows(words) for _, words in found]
+                    found = None
+                automaton.add_word(key, found)
             automaton.make_automaton()
             self.automata.append(automaton)
+        if crowd:
+            self.crowd = np.concatenate(crowd, axis=1)
+            self.crowd = self.crowd[:, np.argsort(self.crowd[0], kind="stable")]
+
+    def _crowded(self, words: list[bytes], places: list[int]) -> np.ndarray:
+        """Starts of the windows around these places of grams that are windows of a phrase, by their hash."""
+        back = np.arange(self.window - self.gram + 1)
+        starts = np.unique(np.array(places)[:, None] - back)
+        starts = starts[(starts >= 0) & (starts <= len(words) - self.window)]
+        if not len(starts):
+            return starts
+        one, two = self._windows(words)[:, starts]
+        at = np.minimum(np.searchsorted(self.crowd[0], one), self.crowd.shape[1] - 1)
+        return starts[(self.crowd[0, at] == one) & (self.crowd[1, at] == two)]
 
     def located(self, words: list[bytes]) -> np.ndarray:
         """Whether each word lies in a window of a phrase.
 
         A phrase's windows are all confirmed, so any `window` of its words or more that stand around its gram are.
+        Where more than CROWD phrases share a gram, they aren't grown one by one: the windows around the place are
+        looked up among all of theirs.
         """
         mask, gram = np.zeros(len(words) + 1, dtype=np.int64), self.gram
-        numbers = tuple(map(self.numbers.get, words, repeat(0)))
+        letters, crowded = self.letters.of(words) if self.automata else "", []
         for automaton in self.automata:
-            for end, found in automaton.iter(numbers):
+            for end, found in automaton.iter(letters):
                 at = end + 1 - gram
+                if found is None:
+                    crowded.append(at)
+                    continue
                 for offset, phrase in found:
                     low, high = at - offset, at - offset + len(phrase)
                     if low < 0 or words[low:high] != phrase:
+                        if words[at : end + 1] != phrase[offset : offset + gram]:
+                            continue
                         left = 0
                         while left < offset and left < at and words[at - left - 1] == phrase[offset - left - 1]:
                             left += 1
@@ -133,6 +202,10 @@ class Shard:
                             continue
                     mask[low] += 1
                     mask[high] -= 1
+        if crowded:
+            starts = self._crowded(words, crowded)
+            mask[starts] += 1
+            mask[starts + self.window] -= 1
         return np.cumsum(mask[:-1]) > 0
 
 
@@ -163,21 +236,21 @@ def repeated_phrases(
     rows = documents.select(
         F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), _anchors_column(F.col(text), window, gram).alias("x")
     )
-    rows = checkpointed(rows.select("doc_id", "t1", "t2", "x.n_words", "x.digest", "x.anchors"))
+    row = F.monotonically_increasing_id().alias("row")
+    rows = checkpointed(rows.select(row, "doc_id", "t1", "t2", "x.n_words", "x.digest", "x.anchors"))
     long = rows.where(F.size("anchors") > 0)
-    copies = long.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("chosen"))
-    one = long.join(copies, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("chosen")))
-    placed = one.select("t1", "t2", "chosen", "copies", F.explode("anchors").alias("anchor"))
+    copies = long.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("chosen"))
+    one = long.join(copies, ["t1", "t2"]).where("row = chosen")
+    placed = one.select("row", "copies", F.explode("anchors").alias("anchor"))
     recurring = placed.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
-    known = placed.join(recurring, "anchor").groupBy("t1", "t2").agg(
-        F.first("chosen").alias("chosen"), F.max("copies").alias("copies"), F.collect_set("anchor").alias("anchors")
-    )
+    known = placed.join(recurring, "anchor").groupBy("row").agg(F.max("copies").alias("copies"), F.collect_set("anchor").alias("anchors"))
+    known = known.join(rows.select("row", "t1", "t2", F.col("doc_id").alias("chosen")), "row").drop("row")
     known = checkpointed(known)
     size = known.agg(F.sum(F.size("anchors") * 8 + 96)).first()[0] or 0
     known = F.broadcast(known) if size <= BROADCAST_BYTES else known
     keyed = documents.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("text")).alias("d")
     same = F.expr("d.t1 = k.t1 and d.t2 = k.t2 and d.doc_id <=> k.chosen")
-    texts = keyed.join(known.alias("k"), same).select("d.t1", "d.t2", "copies", "anchors", "text")
+    texts = keyed.join(known.alias("k"), same).select("d.t1", "d.t2", "copies", "anchors", _packed(F.col("text")).alias("text"))
     texts = checkpointed(texts)
 
     sizes = sorted(map(tuple, texts.groupBy(F.spark_partition_id()).count().collect()))  # a row for each partition
@@ -196,7 +269,7 @@ def repeated_phrases(
         for batch in batches:
             numbers, copies, anchors = (batch.column(c).to_pylist() for c in ("number", "copies", "anchors"))
             parts, n = [], 0
-            for i, x in enumerate(texts_of(batch.column("text"))):
+            for i, x in enumerate(_unpacked(batch.column("text"))):
                 _, h, starts = _candidates(x, np.array(anchors[i], dtype=np.int64), window, gram, hashes)
                 w1, w2 = (run_hashes(h, window, b)[starts].view(np.int64) for b in (_ONE, _TWO))
                 place = (np.int64(numbers[i]) << WORD_BITS) + starts.astype(np.int64)
@@ -219,7 +292,7 @@ def repeated_phrases(
         hashes = WordHashes()
         for batch in batches:
             out: list[tuple] = []
-            for starts, x in zip(batch.column("starts").to_pylist(), texts_of(batch.column("text")), strict=True):
+            for starts, x in zip(batch.column("starts").to_pylist(), _unpacked(batch.column("text")), strict=True):
                 words = x.split()
                 out += cut_phrases(words, hashes.of(words), np.array(starts, dtype=np.int64), window, gram)
             if out:
@@ -233,12 +306,13 @@ def repeated_phrases(
     dealt = texts.withColumn("shard", F.pmod("t1", F.lit(shards)))
     asked = dealt.select("shard", F.explode("anchors").alias("anchor")).distinct()
     sent = asked.join(pieces, "anchor").select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("t1"), F.lit(None).cast("long").alias("t2"), "gram_at", "words")
-    both = sent.unionByName(dealt.select("shard", F.lit(1).alias("kind"), "t1", "t2", F.lit(None).cast("int").alias("gram_at"), F.col("text").cast("binary").alias("words")))
+    both = sent.unionByName(dealt.select("shard", F.lit(1).alias("kind"), "t1", "t2", F.lit(None).cast("int").alias("gram_at"), F.col("text").alias("words")))
     both = both.repartition("shard").sortWithinPartitions("shard", "kind")
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a shard: first its phrases, then its texts."""
-        shard, number, ready = Shard(window, gram), None, False
+        hashes, letters, unpack = WordHashes(), Letters(), zstandard.ZstdDecompressor().decompress
+        shard, number, ready = Shard(window, gram, hashes, letters), None, False
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), kind]
         names = ["t1", "t2", "n_removed", "kept", "spans"]
@@ -247,7 +321,7 @@ def repeated_phrases(
             columns = [batch.column(c).to_pylist() for c in ("shard", "kind", "t1", "t2", "gram_at", "words")]
             for own, is_text, t1, t2, at, x in zip(*columns, strict=True):
                 if own != number:
-                    shard, number, ready = Shard(window, gram), own, False
+                    shard, number, ready = Shard(window, gram, hashes, letters), own, False
                 if not is_text:
                     shard.add(at, x)
                     continue
@@ -256,7 +330,7 @@ def repeated_phrases(
                     ready = True
                 if not shard.automata:
                     continue
-                words = x.split()
+                words = unpack(x).split()
                 gone = shard.located(words)
                 if gone.any():
                     edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])).reshape(-1, 2).tolist()

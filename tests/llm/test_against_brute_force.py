@@ -600,3 +600,27 @@ def test_pipeline_is_that_of_plain_python(spark, documents):
     for s, t in target.items():
         assert t <= 3 * by_source[s] + 1e-6 and abs(taken[s] - t) <= min(longest, 0.02 * t + 2)
     assert all(not (x := scan_text(r["text"]))[0] and not x[1] for r in out)
+
+
+def test_automata_tell_apart_words_of_one_letter_and_crowds_of_phrases(monkeypatch):
+    """Many phrases share a gram; with two letters nearly every place looks like one."""
+    random = np.random.default_rng(12)
+    draw = lambda n: [b"v%d" % x for x in random.integers(0, 500, size=n)]
+    passage, hashes = draw(30), WordHashes()
+    ones = [[*draw(40), *passage, *draw(40)] for _ in range(40)]
+    texts = [[*draw(9), *one[5 * i % 40 : 60 + i], *draw(5)] for i, one in enumerate(ones)] + [[*one[30:70], *draw(3)] for one in ones] + [draw(100), passage]
+    known = {tuple(one[i : i + 35]) for one in ones for i in range(110 - 34)}
+    for letters in (2, 64):
+        monkeypatch.setattr(substrings, "LETTERS", letters)
+        shard = substrings.Shard(35, 12)
+        for one in ones:
+            for _, at, words in substrings.cut_phrases(one, hashes.of(one), np.arange(110 - 34), 35, 12):
+                shard.add(at, words)
+        shard.compile()
+        assert shard.crowd.shape[1] > 0  # phrases that share a gram aren't grown one by one
+        for words in texts:
+            want = np.zeros(len(words), dtype=bool)
+            for s in range(len(words) - 34):
+                if tuple(words[s : s + 35]) in known:
+                    want[s : s + 35] = True
+            assert (shard.located(words) == want).all()
