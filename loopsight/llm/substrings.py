@@ -247,10 +247,12 @@ def repeated_phrases(
     known = known.join(rows.select("row", "t1", "t2", F.col("doc_id").alias("chosen")), "row").drop("row")
     known = checkpointed(known)
     size = known.agg(F.sum(F.size("anchors") * 8 + 96)).first()[0] or 0
-    known = F.broadcast(known) if size <= BROADCAST_BYTES else known
-    keyed = documents.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("text")).alias("d")
+    small = size <= BROADCAST_BYTES
+    known = F.broadcast(known) if small else known
+    whole = F.col(text) if small else _packed(F.col(text))  # all texts are shuffled then
+    keyed = documents.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), whole.alias("text")).alias("d")
     same = F.expr("d.t1 = k.t1 and d.t2 = k.t2 and d.doc_id <=> k.chosen")
-    texts = keyed.join(known.alias("k"), same).select("d.t1", "d.t2", "copies", "anchors", _packed(F.col("text")).alias("text"))
+    texts = keyed.join(known.alias("k"), same).select("d.t1", "d.t2", "copies", "anchors", (_packed(F.col("text")) if small else F.col("text")).alias("text"))
     texts = checkpointed(texts)
 
     sizes = sorted(map(tuple, texts.groupBy(F.spark_partition_id()).count().collect()))  # a row for each partition

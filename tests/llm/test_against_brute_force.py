@@ -624,3 +624,12 @@ def test_automata_tell_apart_words_of_one_letter_and_crowds_of_phrases(monkeypat
                 if tuple(words[s : s + 35]) in known:
                     want[s : s + 35] = True
             assert (shard.located(words) == want).all()
+
+
+def test_passages_are_the_same_when_nothing_is_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None, None, None, None), (-2, " ", "en", "x", 1)], docs.schema))
+    want = sorted(map(tuple, substrings.repeated_phrases(docs).collect()))
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, substrings.repeated_phrases(docs).collect())) == want
+    assert sum(r[2] for r in want) > 0
