@@ -1,5 +1,7 @@
 """Detections, score curves and tracklets measured against truth."""
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +32,17 @@ def matched_boxes(detections: DataFrame, truth: DataFrame, matches: DataFrame) -
 
 
 def frame_outcomes(detections: DataFrame, truth: DataFrame, matches: DataFrame, frames: DataFrame | None = None) -> DataFrame:
-    """frame_index, tp, fp, fn of each scored frame (those given, else all with a box of either kind)."""
-    n = lambda df, c: df.groupBy("frame_index").agg(F.count(F.lit(1)).alias(c))
-    nd, nt, tp = n(detections, "nd"), n(truth, "nt"), n(matches, "tp")
-    every = frames.select("frame_index").distinct() if frames is not None else nd.select("frame_index").union(nt.select("frame_index")).distinct()
-    out = every.join(nd, "frame_index", "left").join(nt, "frame_index", "left").join(tp, "frame_index", "left").fillna(0, ["nd", "nt", "tp"])
-    return out.select("frame_index", "tp", (F.col("nd") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
+    """frame_index, tp, fp, fn of each scored frame (those given, else all with a box of either kind).
+
+    Boxes are counted in one aggregation: joins of counts by frame would be broadcast where files are small for their rows.
+    """
+    one, no = F.col("frame_index").isNotNull().cast("long"), F.lit(0).cast("long")
+    kinds = [(detections, frames is None, "nd"), (truth, frames is None, "nt"), (matches, False, "tp")]
+    if frames is not None:
+        kinds.append((frames, True, None))
+    rows = [df.select("frame_index", F.lit(asked).alias("asked"), *[(one if c == kind else no).alias(c) for c in ("nd", "nt", "tp")]) for df, asked, kind in kinds]
+    out = functools.reduce(DataFrame.union, rows).groupBy("frame_index").agg(F.max("asked").alias("asked"), *[F.sum(c).alias(c) for c in ("nd", "nt", "tp")])
+    return out.where("asked").select("frame_index", "tp", (F.col("nd") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
 
 
 def outcome_scores(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:

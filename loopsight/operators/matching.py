@@ -11,8 +11,11 @@ from loopsight.operators.ordered import running
 
 
 def iou_pairs(detections: DataFrame, truth: DataFrame, least: float = 0.25) -> DataFrame:
-    """Pairs of a detection and a truth box of one frame whose IoU is at least `least`."""
-    found = detections.join(truth, "frame_index")
+    """Pairs of a detection and a truth box of one frame whose IoU is at least `least`.
+
+    Boxes are never broadcast: there are many of them for their files' size, which Spark goes by.
+    """
+    found = detections.join(truth.hint("merge"), "frame_index")
     found = found.withColumn("iou", boxes.iou(boxes.sides("bbox_"), boxes.sides("t_")))
     return found.where(F.col("iou") >= least)
 

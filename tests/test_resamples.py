@@ -3,7 +3,8 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from loopsight.operators.evaluation import bootstrap, bootstrap_outcomes, resamples
+from loopsight.operators.evaluation import bootstrap, bootstrap_outcomes, frame_outcomes, resamples
+from loopsight.operators.matching import iou_pairs, mutual_best
 
 
 @pytest.mark.parametrize("n, block", [(1, 1), (7, 1), (7, 3), (7, 7), (7, 20), (2500, 1700)])
@@ -44,3 +45,24 @@ def test_outcomes_are_resampled_without_broadcast_draws(spark, capsys):
         recalls.append(tp / (tp + fn))
     assert out.first()["recall_bootstrap_median"] == pytest.approx(median(recalls))
     assert bootstrap_outcomes(outcomes.limit(0), 30).first()["f1_ci_low"] is None
+
+
+def test_boxes_are_never_broadcast_for_their_outcomes(spark, capsys):
+    rows = spark.range(60).selectExpr("nullif(id div 4, 3) as frame", "id", "id % 3 as at")
+    found = rows.selectExpr("frame as frame_index", "id as label", "at * 9 as bbox_top", "0 as bbox_left", "at * 9 + 4 as bbox_bottom", "4 as bbox_right")
+    truth = rows.where("id % 4 < 3 and id < 50").selectExpr("frame as frame_index", "id as truth_id", "at * 9 as t_top", "1 as t_left", "at * 9 + 4 as t_bottom", "4 as t_right")
+    matches = mutual_best(iou_pairs(found, truth))
+    own = matches.select("frame_index", "label").collect()
+    for frames in (None, spark.range(5, 20).selectExpr("id as frame_index").union(spark.range(5, 7).selectExpr("nullif(id, 6) as frame_index"))):
+        out = frame_outcomes(found, truth, matches, frames)
+        capsys.readouterr()
+        out.explain()
+        assert "Broadcast" not in capsys.readouterr().out
+        boxes = [[r[0] for r in df.select("frame_index").collect()] for df in (found, truth)]
+        of = lambda all_, f: 0 if f is None else all_.count(f)
+        want = set()
+        for f in {*boxes[0], *boxes[1]} if frames is None else {r[0] for r in frames.collect()}:
+            tp = of([r[0] for r in own], f)
+            want.add((f, tp, of(boxes[0], f) - tp, of(boxes[1], f) - tp))
+        got = list(map(tuple, out.collect()))
+        assert len(got) == len(want) and set(got) == want and any(r[1] for r in got)
