@@ -124,18 +124,21 @@ class Letters(dict):
 
 
 class Shard:
-    """Automata over the anchors' grams of phrases; texts are streamed past them, and phrases grown from each place where one is found."""
+    """Automata over the anchors' grams of phrases; texts are streamed past them, and phrases grown from each place where one is found.
+
+    A phrase is kept as its bytes, joined by spaces; its words, each an object, would take several times the memory.
+    """
 
     def __init__(self, window: int, gram: int, hashes: WordHashes | None = None, letters: Letters | None = None):
         self.window, self.gram = window, gram
         self.hashes, self.letters = WordHashes() if hashes is None else hashes, Letters() if letters is None else letters
-        self.phrases: dict[str, list[tuple[int, list[bytes]]]] = {}
+        self.phrases: dict[str, list[tuple[int, int, bytes]]] = {}
         self.automata: list[ahocorasick.Automaton] = []
         self.crowd = np.zeros((2, 0), dtype=U64)
 
     def add(self, offset: int, phrase: bytes) -> None:
         words = phrase.split()
-        self.phrases.setdefault(self.letters.of(words[offset : offset + self.gram]), []).append((offset, words))
+        self.phrases.setdefault(self.letters.of(words[offset : offset + self.gram]), []).append((offset, len(words), phrase))
 
     def _windows(self, words: list[bytes]) -> np.ndarray:
         """The 128-bit hash of each window, in two rows."""
@@ -149,7 +152,7 @@ class Shard:
             for key in keys[at : at + AUTOMATON_GRAMS]:
                 found = self.phrases.pop(key)
                 if len(found) > CROWD:
-                    crowd += [self._windows(words) for _, words in found]
+                    crowd += [self._windows(phrase.split()) for *_, phrase in found]
                     found = None
                 automaton.add_word(key, found)
             automaton.make_automaton()
@@ -184,9 +187,10 @@ class Shard:
                 if found is None:
                     crowded.append(at)
                     continue
-                for offset, phrase in found:
-                    low, high = at - offset, at - offset + len(phrase)
-                    if low < 0 or words[low:high] != phrase:
+                for offset, length, joined in found:
+                    low, high = at - offset, at - offset + length
+                    if low < 0 or b" ".join(words[low:high]) != joined:
+                        phrase = joined.split()
                         if words[at : end + 1] != phrase[offset : offset + gram]:
                             continue
                         left = 0

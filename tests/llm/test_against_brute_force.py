@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import lzma
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 from collections import Counter
@@ -633,3 +634,19 @@ def test_passages_are_the_same_when_nothing_is_broadcast(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, substrings.repeated_phrases(docs).collect())) == want
     assert sum(r[2] for r in want) > 0
+
+
+def test_a_shard_keeps_little_more_than_the_bytes_of_its_phrases():
+    random, most = np.random.default_rng(13), 400
+    vocabulary = [b"word%03d" % x for x in range(most)]
+    phrases = [b" ".join(vocabulary[x] for x in random.integers(0, most, size=58)) for _ in range(2000)]
+    shard = substrings.Shard(35, 12)
+    shard.letters.of(vocabulary)
+    tracemalloc.start()
+    for phrase in phrases:
+        shard.add(20, bytes(bytearray(phrase)))
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 3 * sum(map(len, phrases))
+    shard.compile()
+    assert all(shard.located(phrase.split()).all() for phrase in phrases[:50])
